@@ -2,9 +2,8 @@
 
 An item longer than the capacity is cut into full containers and a rest; everything else stays whole. Items are dealt
 to shards of bounded size by a hash, and each shard is packed by itself, so no task sees more than a shard and what is
-lost to sharding is at most one part-filled container for each. Within a shard: as many sequences as the tokens need
-are opened, items go in descending order to the sequence of the lowest cost that has room, and where none has, a new
-sequence is opened. The cost of an item of n tokens is ``n + quadratic * n * n``: the work linear in tokens and the
+lost to sharding is at most one part-filled container for each. Within a shard, items go in descending order to the
+open sequence of the lowest cost that has room; only where none has, a new sequence is opened. The cost of an item of n tokens is ``n + quadratic * n * n``: the work linear in tokens and the
 attention within the item.
 
 Defined cases: null and negative sizes count as 0; items of size 0 get a container like others; ties go by id, then to
@@ -29,17 +28,14 @@ QUADRATIC = 1 / 4096
 
 def fill(sizes: np.ndarray, capacity: int, quadratic: float = QUADRATIC) -> np.ndarray:
     """The sequence of each item; ``sizes`` in descending order, none above the capacity."""
-    n = len(sizes)
-    opened = max(1, math.ceil(sizes.sum() / capacity))
-    room = np.full(opened + n, capacity, dtype=np.int64)
-    cost = np.full(opened + n, np.inf)
-    cost[:opened] = 0
-    out = np.empty(n, dtype=np.int64)
+    n, opened = len(sizes), 0
+    room, cost, out = np.full(n, capacity, dtype=np.int64), np.zeros(n), np.empty(n, dtype=np.int64)
     for i, size in enumerate(sizes):
-        at = int(np.argmin(np.where(room[:opened] >= size, cost[:opened], np.inf)))
-        if room[at] < size:
+        fits = np.flatnonzero(room[:opened] >= size)
+        if len(fits):
+            at = fits[np.argmin(cost[fits])]
+        else:
             at, opened = opened, opened + 1
-            cost[at] = 0
         room[at] -= size
         cost[at] += size + quadratic * float(size) * float(size)
         out[i] = at
