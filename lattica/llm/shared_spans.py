@@ -8,9 +8,9 @@ window elsewhere has the same smallest gram. Only those smallest grams are count
 70 characters); a window goes on only if its smallest gram stands in two documents. The windows left are hashed in full,
 counted in Spark, and those in two documents are merged into maximal intervals.
 
-Whole copies of a text are found by digest before: one of them stands for all, and the others, which are shared from end
-to end, cause no windows. Grams and windows are counted with partial aggregation, so that boilerplate in a third of all
-documents is one row for each task; the join back has the documents on its streamed side.
+Everything is counted over distinct texts, named by a hash; whole copies, known by digest, are shared from end to end
+and are read once for each batch. Grams and windows are counted with partial aggregation, so that boilerplate in a third
+of all documents is one row for each task; the join back has the texts on its streamed side.
 
 Defined cases: null and short texts have no spans; a null id cannot be reported and its row is left out; rows of one id
 count as one document if their texts are alike, and a repeat within one text is none; other columns are ignored.
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lattica.session import written
 
@@ -86,99 +85,94 @@ def _sifters(roller: Roller, sums: np.ndarray, length: int, gram: int) -> np.nda
     return _sliding_min(roller.hashes(sums, gram), length - gram + 1).view(np.int64)
 
 
-def shared_windows(df: DataFrame, id_col: str, text_col: str, length: int, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, start`` of each window shared with another document, of documents without a whole copy; and
-    ``doc_id, chars`` of those that are copies."""
-    gram = min(gram, length)
+def _texts(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """The texts long enough, with the hash that stands for them; and ``doc_id, text_key, chars, copied`` of each document."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & (F.length("text") >= length)
     )
-    id_type = docs.schema["doc_id"].dataType
-    keys = written(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("chars")), "digests")
-    classes = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
-    copied = keys.join(classes.where("copied").select("digest"), "digest").select("doc_id", "chars").distinct()
-    # of each text one document, with its partition by doc_id kept for the later join
-    texts = docs.withColumn("digest", F.unhex(F.md5("text"))).join(
-        classes.select(F.col("first").alias("doc_id"), "digest", "copied"), ["doc_id", "digest"]
-    ).dropDuplicates(["doc_id", "digest"])
+    keys = written(docs.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")).distinct(), "digests")
+    classes = keys.groupBy("digest").agg((F.min("doc_id") < F.max("doc_id")).alias("copied"))
+    keys = keys.join(classes, "digest").select("doc_id", F.xxhash64("digest").alias("text_key"), "chars", "copied")
+    return docs.select(F.xxhash64(F.md5("text")).alias("text_key"), "text"), keys
+
+
+def shared_windows(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``text_key, start`` of each window of a text that stands in another text too."""
+    gram = min(gram, length)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                m = _sifters(roller, roller.sums(text.as_py()), length, gram)
+            found, keys = [], []
+            first = {}  # of the copies in a batch, one is read
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                first.setdefault(key, i)
+            for key, i in first.items():
+                m = _sifters(roller, roller.sums(batch.column(1)[i].as_py()), length, gram)
                 found.append(np.unique(m[np.r_[True, m[1:] != m[:-1]]]))
-            counts = np.array([len(f) for f in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))],
-                names=["gram", "doc_id"],
-            )
+                keys.append(key)
+            keys = np.repeat(np.array(keys, dtype=np.int64), [len(f) for f in found])
+            grams = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(keys)], names=["gram", "text_key"])
 
-    grams_schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc_id", id_type)])
-    grams = written(texts.select("doc_id", "text").mapInArrow(sift, grams_schema), "grams")
-    repeated = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("gram")
-    wanted = grams.join(repeated, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    grams = written(texts.mapInArrow(sift, "gram long, text_key long"), "grams")
+    repeated = grams.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a < z").select("gram")
+    wanted = grams.join(repeated, "gram").groupBy("text_key").agg(F.collect_set("gram").alias("grams"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for batch in batches:
-            hashes, starts = [], []
-            for text, grams in zip(batch.column(2), batch.column(3)):
+            for key, text, grams in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 sums = roller.sums(text.as_py())
                 at = np.flatnonzero(np.isin(_sifters(roller, sums, length, gram), np.asarray(grams.values)))
-                hashes.append(roller.hashes(sums, length)[at].view(np.int64))
-                starts.append(at.astype(np.int32))
-            counts = np.array([len(s) for s in starts], dtype=np.int64)
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-            for k in range(0, max(1, len(rows)), 500_000):
-                part = slice(k, k + 500_000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows[part]),
-                        batch.column(1).take(rows[part]),
-                        pa.array(np.concatenate(starts)[part]),
-                        pa.array(np.concatenate(hashes)[part]),
-                    ],
-                    names=["doc_id", "copied", "start", "window"],
-                )
-
-    windows_schema = T.StructType(
-        [
-            T.StructField("doc_id", id_type),
-            T.StructField("copied", T.BooleanType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("window", T.LongType()),
-        ]
-    )
+                hashes = roller.hashes(sums, length)[at].view(np.int64)
+                for k in range(0, len(at), 500_000):
+                    part = at[k : k + 500_000].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), key, dtype=np.int64)), pa.array(part), pa.array(hashes[k : k + 500_000])],
+                        names=["text_key", "start", "window"],
+                    )
+
     candidates = written(
-        texts.join(wanted, "doc_id").select("doc_id", "copied", "text", "grams").mapInArrow(windows, windows_schema), "windows"
+        texts.join(wanted, "text_key")
+        .dropDuplicates(["text_key"])
+        .select("text_key", "text", "grams")
+        .mapInArrow(windows, "text_key long, start int, window long"),
+        "windows",
     )
-    counted = candidates.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("window")
-    return candidates.where(~F.col("copied")).join(counted, "window").select("doc_id", "start"), copied
+    counted = candidates.groupBy("window").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a < z").select("window")
+    return candidates.join(counted, "window").select("text_key", "start")
 
 
 def shared_chars(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``doc_id, shared_chars`` of each document with a shared run: characters in at least one run, each once."""
-    starts, copied = shared_windows(df, id_col, text_col, length)
-    later = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
-    singles = (
-        starts.withColumn("step", F.least(F.coalesce(later - F.col("start"), F.lit(length)), F.lit(length)))
+    texts, keys = _texts(df, id_col, text_col, length)
+    later = F.lead("start").over(Window.partitionBy("text_key").orderBy("start"))
+    chars = (
+        shared_windows(texts, length)
+        .withColumn("step", F.least(F.coalesce(later - F.col("start"), F.lit(length)), F.lit(length)))
+        .groupBy("text_key")
+        .agg(F.sum("step").alias("shared"))
+    )
+    return (
+        keys.join(chars, "text_key", "left")
         .groupBy("doc_id")
-        .agg(F.sum("step").cast("long").alias("shared_chars"))
+        .agg(F.max(F.when(F.col("copied"), F.col("chars")).otherwise(F.col("shared"))).cast("long").alias("shared_chars"))
+        .where("shared_chars is not null")
     )
-    return singles.unionByName(copied.groupBy("doc_id").agg(F.max("chars").cast("long").alias("shared_chars")))
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``doc_id, start, stop``: the maximal intervals of characters that stand elsewhere, from 0, ``stop`` not included."""
-    starts, copied = shared_windows(df, id_col, text_col, length)
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
+    texts, keys = _texts(df, id_col, text_col, length)
+    by_text = Window.partitionBy("text_key").orderBy("start")
     islands = (
-        starts.withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(by_doc) > length).cast("int"), F.lit(1)))
-        .withColumn("island", F.sum("new").over(by_doc))
-        .groupBy("doc_id", "island")
+        shared_windows(texts, length)
+        .withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(by_text) > length).cast("int"), F.lit(1)))
+        .withColumn("island", F.sum("new").over(by_text))
+        .groupBy("text_key", "island")
         .agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop"))
         .drop("island")
     )
-    return islands.unionByName(copied.groupBy("doc_id").agg(F.lit(0).alias("start"), F.max("chars").alias("stop")))
+    whole = keys.where("copied").select("doc_id", F.lit(0).alias("start"), F.col("chars").alias("stop"))
+    return keys.where("not copied").join(islands, "text_key").select("doc_id", "start", "stop").unionByName(whole.distinct())
