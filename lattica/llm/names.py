@@ -36,6 +36,8 @@ ORG_WORDS = (
     "network", "project", "team", "society", "soc", "centre", "center", "association", "committee", "university", "univ", "foundation",
 )
 TITLES = ("dr", "prof", "mr", "mrs", "ms", "phd", "md", "jr", "sr", "ii", "iii")
+#: Small words before a family name that are often left out.
+PARTICLES = ("van", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "von", "zu", "zur", "ter", "ten", "bin", "al", "el", "af", "av")
 #: Words of an affiliation that name no place.
 PLACELESS = (
     "university", "univ", "institute", "inst", "technology", "tech", "of", "the", "dept", "department", "group", "school", "faculty",
@@ -64,7 +66,7 @@ def plain(value: Column) -> Column:
 def _words(value: Column) -> Column:
     """Name words: letters with inner hyphens and apostrophes; initials apart, titles gone."""
     words = F.regexp_extract_all(plain(value), F.lit(r"\p{L}+(?:['’\-‐‑]\p{L}+)*"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(*TITLES))
+    return F.filter(words, lambda w: ~w.isin(*TITLES, *PARTICLES))
 
 
 def _given_words(value: Column) -> Column:
@@ -80,6 +82,21 @@ def deletions(value: Column) -> Column:
     return F.when(n >= 4, F.array_distinct(F.concat(F.array(value), shorter))).otherwise(F.array(value))
 
 
+def family_keys(value: Column) -> Column:
+    """The deletion keys of a family name, and of the parts of a double one."""
+    parts = F.split(value, "[-‐‑]")
+    return F.array_distinct(F.concat(deletions(value), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))))
+
+
+def _same_family(a: Column, b: Column) -> Column:
+    """One typing error apart, or one the part of the other's double name."""
+    return _near(a, b) | F.array_contains(F.split(a, "[-‐‑]"), b) | F.array_contains(F.split(b, "[-‐‑]"), a)
+
+
+def _family_cost(a: Column, b: Column) -> Column:
+    return F.when(_near(a, b), TYPO * F.levenshtein(a, b)).otherwise(DROPPED)
+
+
 def place_of(affiliation: Column) -> Column:
     """The last word of an affiliation that can name a place."""
     words = F.regexp_extract_all(plain(affiliation), F.lit(r"\p{L}+"), F.lit(0))
@@ -169,14 +186,14 @@ def _roots(links: DataFrame, keys: list[str], steps: int = 4) -> DataFrame:
 def family_links(forms: DataFrame) -> DataFrame:
     """place, s -> to_s: the likelier spelling of a family name at the same place. ``forms``: place, s, n."""
     units = forms.groupBy("place", "s").agg(F.sum("n").alias("n"))
-    keyed = written(units.select("place", "s", "n", F.explode(deletions(F.col("s"))).alias("key")), "family-keys")
+    keyed = written(units.select("place", "s", "n", F.explode(family_keys(F.col("s"))).alias("key")), "family-keys")
     v, c = keyed.alias("v"), keyed.alias("c")
     likelier = (F.col("c.n") > F.col("v.n")) | ((F.col("c.n") == F.col("v.n")) & (F.col("c.s") < F.col("v.s")))
     links = (
         v.join(c, (F.col("v.place") == F.col("c.place")) & (F.col("v.key") == F.col("c.key")) & likelier)
-        .where(_near(F.col("v.s"), F.col("c.s")) & (F.length("v.s") >= 4))
+        .where(_same_family(F.col("v.s"), F.col("c.s")) & (F.length("v.s") >= 4))
         .groupBy("v.place", "v.s")
-        .agg(F.max_by(F.col("c.s"), F.struct(F.log(F.col("c.n")) + TYPO * F.levenshtein(F.col("v.s"), F.col("c.s")), F.col("c.s"))).alias("to_s"))
+        .agg(F.max_by(F.col("c.s"), F.struct(F.log(F.col("c.n")) + _family_cost(F.col("v.s"), F.col("c.s")), F.col("c.s"))).alias("to_s"))
         .select("place", "s", F.col("place").alias("to_place"), "to_s")
     )
     return _roots(links, ["place", "s"]).select("place", "s", "to_s")
@@ -313,8 +330,8 @@ def entities(df: DataFrame) -> DataFrame:
     loose = people.where("place is null").select("mention_id", "paper_id", "orcid", "s", "g1", "g2")
     named = resolved.select("place", F.col("s").alias("canon"), "typed", "g1", "entity", "n")
     letters = lambda c: F.substring(c, 1, 1)
-    keys = named.groupBy("place", "typed", "g1", "entity").agg(F.sum("n").alias("n")).withColumn("key", F.explode(deletions(F.col("typed"))))
-    asked = loose.join(paper_places, "paper_id").select("mention_id", "s", "g1", F.col("near").alias("place"), F.explode(deletions(F.col("s"))).alias("key"))
+    keys = named.groupBy("place", "typed", "g1", "entity").agg(F.sum("n").alias("n")).withColumn("key", F.explode(family_keys(F.col("typed"))))
+    asked = loose.join(paper_places, "paper_id").select("mention_id", "s", "g1", F.col("near").alias("place"), F.explode(family_keys(F.col("s"))).alias("key"))
     a, c = asked.alias("a"), keys.alias("c")
     alike = (
         F.when(F.col("a.g1") == F.col("c.g1"), 0.0)
@@ -325,20 +342,31 @@ def entities(df: DataFrame) -> DataFrame:
     )
     by_paper = (
         a.join(c, (F.col("a.place") == F.col("c.place")) & (F.col("a.key") == F.col("c.key")))
-        .where(_near(F.col("a.s"), F.col("c.typed")))
+        .where(_same_family(F.col("a.s"), F.col("c.typed")))
         .groupBy("a.mention_id")
-        .agg(F.max_by("c.entity", F.struct(F.log("c.n") + alike + TYPO * F.levenshtein("a.s", "c.typed"), "c.entity")).alias("by_paper"))
+        .agg(F.max_by("c.entity", F.struct(F.log("c.n") + alike + _family_cost(F.col("a.s"), F.col("c.typed")), "c.entity")).alias("by_paper"))
     )
     whole = resolved.select(F.col("typed").alias("s"), "g1", "g2", letters("g1").alias("i"), "entity").distinct()
+    near_key = _lookup(whole.where(F.length("g1") > 2).select(F.explode(family_keys(F.col("s"))).alias("key"), "g1", "entity").distinct(), "e0", ["key", "g1"])
+    by_key = (
+        loose.where(F.length("g1") > 2)
+        .select("mention_id", "g1", F.explode(family_keys(F.col("s"))).alias("key"))
+        .join(near_key, ["key", "g1"])
+        .groupBy("mention_id")
+        .agg(F.min("e0").alias("e0"), F.max("e0").alias("other"))
+        .where("e0 = other")
+        .drop("other")
+    )
     rest = (
         loose.withColumn("i", letters("g1"))
         .join(by_paper, "mention_id", "left")
         .join(_lookup(whole, "e3", ["s", "g1", "g2"]), ["s", "g1", "g2"], "left")
         .join(_lookup(whole, "e2", ["s", "g1"]), ["s", "g1"], "left")
         .join(_lookup(whole, "e1", ["s", "i"]), ["s", "i"], "left")
+        .join(by_key, "mention_id", "left")
         .select(
             "mention_id", "orcid",
-            F.coalesce("by_paper", "e3", "e2", F.when(F.col("orcid").isNull(), F.col("e1")), F.concat_ws("|", F.lit("person"), F.lit(""), "s", "g1", "g2")).alias("entity"),
+            F.coalesce("by_paper", "e3", "e2", "e0", F.when(F.col("orcid").isNull(), F.col("e1")), F.concat_ws("|", F.lit("person"), F.lit(""), "s", "g1", "g2")).alias("entity"),
         )
     )
     assigned = written(first.unionByName(rest), "assigned")
