@@ -20,7 +20,7 @@ def _over(name: str, key: str, column: str, function, out: str = "value"):
 def _responses(spark: SparkSession, folder: str) -> DataFrame:
     """Model responses rebuilt from the facts: plain, fenced, single-quoted, with other keys, or with words around."""
     p = table(spark, folder, "predication").where("subject_entity_name is not null and predicate is not null and object_entity_name is not null")
-    quote = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"[\"'\\\p{Cntrl}{}\[\],:]", " ")), r"\s+", " ")
+    quote = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[\"'\\\p{Cntrl}{}\[\],:]", " "), r"(?U)\s+", " "))
     p = p.select("predication_id", *[quote(c).alias(n) for c, n in (("subject_entity_name", "h"), ("predicate", "r"), ("object_entity_name", "t"))])
     p = p.where("h <> '' and r <> '' and t <> ''")
     form = F.conv(F.substring("predication_id", -1, 1), 10, 10).cast("int") % 5
