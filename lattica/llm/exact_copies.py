@@ -33,8 +33,9 @@ _SWAPPED = rf"(?U)^([^,]*[{_KEPT}][^,]*),[{_SPACE}]+([^,]*[{_KEPT}][^,]*)$"
 
 
 def folded(value: Column) -> Column:
-    """Without letter case, so that all case variants of a letter are one."""
-    return F.lower(F.upper(value))
+    """Without letter case, so that all case variants of a letter are one (upper first: ß is SS, and µ is μ). What stands
+    between keeps the optimiser from dropping the inner step."""
+    return F.lower(F.concat(F.upper(value), F.lit("")))
 
 
 def content(value: Column, name: bool) -> Column:
