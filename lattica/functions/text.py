@@ -200,7 +200,7 @@ def duration_text(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     h, m, r = F.floor(s / 3600).cast("long"), F.floor((s % 3600) / 60).cast("long"), s % 60
     return (
-        F.when(h > 0, F.format_string("%dh%dm%ds", h, m, r)).when(m > 0, F.format_string("%dm%ds", m, r)).otherwise(F.format_string("%ds", r))
+        F.when(s.isNull(), None).when(h > 0, F.format_string("%dh%dm%ds", h, m, r)).when(m > 0, F.format_string("%dm%ds", m, r)).otherwise(F.format_string("%ds", r))
     )
 
 

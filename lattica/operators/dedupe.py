@@ -11,16 +11,13 @@ from lattica.session import written
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key; null keys are a key of their own. One aggregate with map-side combine, so a hot key is
     one row per task: the row travels as the struct that the order is the least of."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    key_columns = [(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(keys)]
-    order_columns = [(F.col(o) if isinstance(o, str) else o).alias(f"__order{i}") for i, o in enumerate(order)]
-    best = F.min_by(F.struct(*columns), F.struct(*[F.col(f"__order{i}") for i in range(len(order))]))
-    return (
-        df.select(*columns, *key_columns, *order_columns)
-        .groupBy(*[f"__key{i}" for i in range(len(keys))])
-        .agg(best.alias("__row"))
-        .select("__row.*")
+    # the row is packed first, so that no column's name can clash
+    packed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
+        F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]).alias("__order"),
+        *[(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(keys)],
     )
+    return packed.groupBy(*[f"__key{i}" for i in range(len(keys))]).agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
 
 
 def duplicates(df: DataFrame, fields: list[str], key) -> DataFrame:

@@ -25,10 +25,11 @@ from lattica.session import written
 #: White space that may surround a key.
 BLANKS = " \t\n\r\x0b\x0c\u00a0\u2009\u200b\u3000\ufeff"
 
-REFERENCES = T.StructType.fromDDL(
-    "space string, key string, table_name string, ref_field string, row_key string, at timestamp_ntz"
+_TEXT, _TIME = T.StringType(), T.TimestampNTZType()
+REFERENCES = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("space", "key", "table_name", "ref_field", "row_key")] + [T.StructField("at", _TIME)]
 )
-SPANS = T.StructType.fromDDL("space string, key string, live_from timestamp_ntz, live_until timestamp_ntz")
+SPANS = T.StructType([T.StructField("space", _TEXT), T.StructField("key", _TEXT), T.StructField("live_from", _TIME), T.StructField("live_until", _TIME)])
 
 
 def clean_key(key: Column) -> Column:
@@ -87,7 +88,7 @@ class OrphanTracker:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        empty = lambda ddl: spark.createDataFrame([], T.StructType.fromDDL(ddl))
+        empty = lambda ddl: spark.createDataFrame([], ddl)
         span = "array<struct<live_from:timestamp_ntz,live_until:timestamp_ntz>>"
         self.parents = empty(f"space string, key string, spans {span}")
         self.pending = spark.createDataFrame([], REFERENCES)

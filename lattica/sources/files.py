@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TRIPLE = T.StructType.fromDDL("h string, r string, t string, _model string, _prompt string, _bad string")
-PAPER = T.StructType.fromDDL(
+TRIPLE = "h string, r string, t string, _model string, _prompt string, _bad string"
+PAPER = (
     "pdf_filename string, title string, doi string, sections array<struct<level int, heading string, body string, content string,"
     " section_title string, section_text string>>, figures_folder string, figure_count int, docling_processed boolean,"
     " marker_processed boolean, error string"
@@ -47,7 +46,7 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``document_id, text`` of a folder of text files, a row each."""
-    return spark.read.option("wholetext", True).text(path).select(_stem().alias("document_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(_stem().alias("document_id"), F.col("value").alias("text"))
 
 
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +61,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file_no, line_no, line`` of a log and its rotations (.1, .2, …), the newest file first."""
     rotation = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d+)$", 1)
-    whole = spark.read.option("wholetext", True).text(path).select(F.coalesce(rotation.try_cast("int"), F.lit(0)).alias("file_no"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.coalesce(rotation.try_cast("int"), F.lit(0)).alias("file_no"), "value")
     return whole.select("file_no", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
