@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ CLEANUP = (
 )
 
 
+@cache
 def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
     """From the character database: characters that fold to one ASCII character, and in the common blocks to several."""
     source, target, several = [], [], []
@@ -49,8 +51,11 @@ def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
 def ascii_fold(value: Column) -> Column:
     """ASCII part of the compatibility decomposition."""
     source, target, several = _compatibility()
-    value = reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), several, value)
-    return F.regexp_replace(F.translate(value, source, target), r"[^\x00-\x7F]", "")
+    # most values are ASCII, and most others have none of the characters that fold to several: those steps are skipped
+    pairs = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in several])), "array<struct<c:string,f:string>>")  # one literal
+    long = F.when(value.rlike("[" + "".join(c for c, _ in several) + "]"), F.aggregate(pairs, value, lambda v, p: F.replace(v, p["c"], p["f"])))
+    folded = F.regexp_replace(F.translate(F.coalesce(long, value), source, target), r"[^\x00-\x7F]", "")
+    return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
 
 
 def match_key(value: Column) -> Column:

@@ -54,7 +54,7 @@ def nearest(
     local = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     local = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("r") <= k)
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def mean_vectors(vectors: DataFrame, group: str, vector_col: str) -> DataFrame:

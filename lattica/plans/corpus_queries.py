@@ -214,7 +214,7 @@ QUERIES = {
 }
 
 _PAPERS = "(select * from papers qualify row_number() over (partition by paper_id order by marker_processed is null, not marker_processed nulls first, processed_at nulls first, title nulls first, doi nulls first) = 1)"
-_LOG = '''(select event_id, event_type, user_id % 90 triples, round(value, 2) as "seconds", event_id % 7 k from events where value is not null and event_type is not null)'''
+_LOG = '''(select event_id, event_type, (user_id % 90)::int triples, round(value, 2) as "seconds", event_id % 7 k from events where value is not null and event_type is not null)'''
 
 
 def _knn_sql(score: str, shown: str = "score") -> str:
