@@ -221,7 +221,9 @@ def given_links(forms: DataFrame, known: DataFrame) -> DataFrame:
     nick = forms.where(~short).join(known, "g1").select(*forms.columns, F.col("full").alias("key"), F.lit(NICKNAME).alias("cost"))
     initial = F.array(F.concat(F.lit("."), F.substring("g1", 1, 1)), F.lit("*"))
     gives = forms.select("*", F.explode(F.when(short, initial).otherwise(F.concat(deletions(F.col("g1")), initial))).alias("key"))
-    v, c = asks.unionByName(nick).alias("v"), gives.alias("c")
+    # a nickname also answers to the initial of the name that it stands for
+    called = forms.where(~short).join(known, "g1").select(*forms.columns, F.concat(F.lit("."), F.substring("full", 1, 1)).alias("key")).distinct()
+    v, c = asks.unionByName(nick).alias("v"), gives.unionByName(called).alias("c")
     weight = lambda t: F.length(F.col(f"{t}.g1")) > 2
     fuller = (weight("c") & ~weight("v")) | (
         (weight("c") == weight("v"))
