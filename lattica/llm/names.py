@@ -172,7 +172,7 @@ def _near(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= 2
 
 
-def _roots(links: DataFrame, keys: list[str], steps: int = 4) -> DataFrame:
+def _roots(links: DataFrame, keys: list[str], steps: int = 3) -> DataFrame:
     """Follows each spelling's link to the likelier one up to its end; links lead to likelier spellings only, so there
     are no circles, and their chains are a few errors long."""
     targets = [f"to_{k}" for k in keys]
