@@ -159,6 +159,12 @@ def lexicon(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(whole).alias("w")).select(_clean(F.col("w")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _put(raw: Column, word: Column, form: Column) -> Column:
+    """The form in the word's place; a capital at the beginning stays one."""
+    new = F.replace(F.lower(raw), word, form)
+    return F.when(raw.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), new.substr(F.lit(2), F.length(new)))).otherwise(new)
+
+
 class Findings:
     """The parts of a repair: classified lines, divided words, misread words with the forms meant."""
 
@@ -176,6 +182,7 @@ class Findings:
             "key", "field_name", "line_no", "next_line",
             F.regexp_replace(F.lower(F.get("words", F.size("words") - 1)), rf"[{_HYPHENS}]$|^[\"'“‘\[]+", "").alias("a"),
             _clean(F.get("next_words", F.lit(0))).alias("b"),
+            F.regexp_replace(F.get("words", F.size("words") - 1), rf"[{_HYPHENS}]$", "").alias("raw_a"), F.get("next_words", F.lit(0)).alias("raw_b"),
             F.get("words", F.size("words") - 1).rlike("[¬­]$").alias("soft"),
         )
         pairs = parts.select("a", "b").distinct()
@@ -192,7 +199,7 @@ class Findings:
         case = (F.col("joined") > F.col("kept")) | ((F.col("joined") == F.col("kept")) & (F.col("soft") | (F.col("apart") == 0)))
         return (
             parts.join(joined, ["a", "b"]).join(kept, ["a", "b"]).join(halves, ["a", "b"])
-            .select("key", "field_name", "line_no", "next_line", "a", "b", case.alias("is_case"))
+            .select("key", "field_name", "line_no", "next_line", "a", "b", "raw_a", "raw_b", case.alias("is_case"))
         )
 
     @staticmethod
@@ -262,7 +269,8 @@ class Findings:
         fixes = self.misread.where("pos >= 0").groupBy("key", "field_name", "line_no").agg(F.map_from_entries(F.collect_set(F.struct(F.col("pos"), F.struct("word", "form")))).alias("fixes"))
         ends = self.misread.where("pos = -1").select("word", "form").distinct()
         joins = self.divided.withColumn("word", F.when(F.col("is_case"), F.concat("a", "b")).otherwise(F.concat_ws("-", "a", "b"))).join(ends, "word", "left")
-        at = joins.select("key", "field_name", "line_no", F.coalesce("form", "word").alias("whole"))
+        raw = F.concat("raw_a", F.when(F.col("is_case"), "").otherwise("-"), "raw_b")
+        at = joins.select("key", "field_name", "line_no", F.when(F.col("form").isNotNull(), _put(raw, F.col("word"), F.col("form"))).otherwise(raw).alias("whole"))
         taken = joins.select("key", "field_name", F.col("next_line").alias("line_no"), F.lit(True).alias("taken"))
         order = Window.partitionBy("key", "field_name").orderBy("line_no")
         kept = self.lines.where(~F.col("kind").isin("header", "page")).join(touched, ["key", "field_name"])
@@ -281,7 +289,7 @@ class Findings:
             words,
             lambda w, i: F.when(
                 F.col("fixes").isNotNull() & F.map_contains_key(F.coalesce("fixes", F.create_map().cast("map<int,struct<word:string,form:string>>")), i),
-                F.replace(F.lower(w), F.element_at("fixes", i)["word"], F.element_at("fixes", i)["form"]),
+                _put(w, F.element_at("fixes", i)["word"], F.element_at("fixes", i)["form"]),
             ).otherwise(w),
         )
         fixed = F.when(F.col("whole").isNotNull(), F.concat(F.slice(fixed, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.array("whole"))).otherwise(fixed)

@@ -6,7 +6,7 @@ CLEAN = "\n\n".join(
 SCANNED = "\n".join(
     [
         "The spiking network regulates every neu-", "ron at matched energy and the circuit con­", "trols a state-", "dependent synapse in the cortex.", "",
-        "Brain Letters 12 (1999)", "Page 7", "", "The sp!king network regulates every neuron at", "", "Brain Letters 12 (1999)", "Page 8", "",
+        "Brain Letters 12 (1999)", "Page 7", "", "The sp!king network, Rcgulates, every neuron at", "", "Brain Letters 12 (1999)", "Page 8", "",
         "matched energy and the circuit controls", "Table 2", "17", "0.5", "(3)", "", "The netvvork regulates the cor-", "tcx.",
     ]
 )
@@ -30,7 +30,7 @@ def test_repair(spark):
     assert got["a", "body"] == CLEAN and got["c", "body"] is None and got["d", "body"] == "" and got["d", "abstract"] == "one line" and got["e", "body"] == "x" * 200_000
     text = got["b", "body"]
     assert "neuron at matched energy and the circuit controls a state-dependent synapse" in text
-    assert "spiking network regulates every neuron at matched energy and the circuit controls" in text
+    assert "The spiking network, Regulates, every neuron at matched energy and the circuit controls" in text
     assert "Letters" not in text and "Page" not in text and "network regulates the cortex" in text
 
 
