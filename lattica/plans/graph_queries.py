@@ -66,7 +66,8 @@ def g23_bfs_triples(spark, folder):
 
 def ask(spark, folder, question: str = "How does synaptic plasticity shape working memory?", k: int = 2):
     terms = spark.createDataFrame([(w.lower().strip("?.,"),) for w in question.split() if len(w) > 6], "term string")
-    entries = retrieval.substring_entries(table(spark, folder, "vocab_entity"), terms, "canonical_name").select("entity_name")
+    names = facts(spark, folder).select(F.explode(F.array("h", "t")).alias("entity_name"))
+    entries = retrieval.substring_entries(names, terms).select("entity_name")
     return retrieval.ranked_triples(facts(spark, folder), entries, k)
 
 

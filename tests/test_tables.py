@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import match_key
 from lattica.operators import chunks, corpus, dedupe, evaluation, lookups, retrieval, triples, vector
+from lattica.plans import graph_queries, text_queries
 
 
 def test_processed_first(spark, collect):
@@ -86,6 +87,15 @@ def test_chunks(spark, collect):
     assert [r[1:3] for r in collect(chunks.line_windows(df.where("i = 1"), "i", "t", 4))] == [(0, 1), (1, 5), (2, 9)]
 
 
+def test_question_enters_at_any_node(spark, collect, tmp_path):
+    """Entry points are names of the graph, also those that the vocabulary does not hold."""
+    columns = "subject_entity_name string, predicate string, object_entity_name string, document_id string, model_name string, predication_id string, prompt_filename string, extracted_at timestamp_ntz"
+    facts = [("Rat WORKING-memory trace", "uses", "x", "d", "m", "p1", None, None), ("x", "causes", "y", "d", "m", "p2", None, None), ("other", "is", "z", "d", "m", "p3", None, None)]
+    spark.createDataFrame(facts, columns).write.parquet(str(tmp_path / "predication.parquet"))
+    spark.createDataFrame([("v", "working memory")], "entity_id string, canonical_name string").write.parquet(str(tmp_path / "vocab_entity.parquet"))
+    assert collect(graph_queries.c10_ask(spark, str(tmp_path)).select("predication_id", "depth")) == [("p1", 0), ("p2", 1)]
+
+
 def test_corpus(spark, collect):
     df = spark.createDataFrame([(1, "T", [(1, "H", "b"), (2, None, "c")]), (2, None, None)], "i int, title string, s array<struct<level:int,heading:string,body:string>>")
     assert collect(df.select(corpus.paper_text(F.col("title"), F.col("s")), corpus.section_text(F.col("s")))) == [("", ""), ("T\n\nH\n\nb\n\nc", "b c")]
