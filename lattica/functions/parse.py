@@ -84,7 +84,7 @@ def fence_stripped(text: Column) -> Column:
 
 def strict_triples(text: Column) -> Column:
     """Triples of JSON lines that name h, r and t; other lines are left out."""
-    parsed = F.transform(F.split(fence_stripped(text), "\n"), lambda x: F.from_json(F.trim(x), "h string, r string, t string"))
+    parsed = F.transform(F.split(fence_stripped(text), "\n"), lambda x: F.from_json(F.trim(x), "h string, r string, t string", {"allowSingleQuotes": "false"}))
     return F.filter(parsed, lambda x: (F.trim(x["h"]) != "") & (F.trim(x["r"]) != "") & (F.trim(x["t"]) != ""))
 
 

@@ -96,6 +96,13 @@ def test_question_enters_at_any_node(spark, collect, tmp_path):
     assert collect(graph_queries.c10_ask(spark, str(tmp_path)).select("predication_id", "depth")) == [("p1", 0), ("p2", 1)]
 
 
+def test_strict_triples_of_all_forms(spark, collect, tmp_path):
+    """Plain, fenced and surrounded JSON lines give triples; single quotes and other keys don't."""
+    columns = "predication_id string, subject_entity_name string, predicate string, object_entity_name string"
+    spark.createDataFrame([(f"pred_{i}", "a", "b", "c") for i in range(5)], columns).write.parquet(str(tmp_path / "predication.parquet"))
+    assert [r[0] for r in collect(text_queries.t05_strict_triples(spark, str(tmp_path)))] == ["pred_0", "pred_1", "pred_4"]
+
+
 def test_corpus(spark, collect):
     df = spark.createDataFrame([(1, "T", [(1, "H", "b"), (2, None, "c")]), (2, None, None)], "i int, title string, s array<struct<level:int,heading:string,body:string>>")
     assert collect(df.select(corpus.paper_text(F.col("title"), F.col("s")), corpus.section_text(F.col("s")))) == [("", ""), ("T\n\nH\n\nb\n\nc", "b c")]
