@@ -52,8 +52,9 @@ def python_definitions(df: DataFrame, key: str, text: str) -> DataFrame:
     return texts.mapInPandas(parse, f"key {kind}, name string, first_line int, last_line int")
 
 
-def python_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, name, chunk``: each definition's lines, and '<module>' with what stands before the first one."""
+def python_chunks(df: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """``key, name, chunk``: each definition's lines, and '<module>' with what stands before the first one. ``whole``:
+    texts that don't parse or have no definitions are one chunk '<module>'."""
     found = python_definitions(df, key, text).where(~F.col("name").contains("."))
     lines = df.select(F.col(key).alias("key"), F.split(text, "\r?\n").alias("lines"))
     joined = found.join(lines, "key")
@@ -62,4 +63,8 @@ def python_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     head = joined.withColumn("first", first).where("first_line = first and first > 1").select(
         "key", F.lit("<module>").alias("name"), F.array_join(F.slice("lines", F.lit(1), F.col("first") - 1), "\n").alias("chunk")
     )
-    return chunks.unionByName(head)
+    chunks = chunks.unionByName(head)
+    if not whole:
+        return chunks
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lit("<module>").alias("name"), F.col(text).alias("chunk"))
+    return chunks.unionByName(texts.join(found.select("key").distinct(), "key", "left_anti"))

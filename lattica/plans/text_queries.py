@@ -72,7 +72,7 @@ def t11_first_heading(spark: SparkSession, folder: str) -> DataFrame:
 
 def t12_python_chunks(spark: SparkSession, folder: str) -> DataFrame:
     code = table(spark, folder, "documents").where("doc_kind = 'code_chunk'")
-    return python_chunks(code, "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return python_chunks(code, "doc_id", "text", whole=True).withColumnRenamed("key", "doc_id")
 
 
 def o10_line_windows(spark: SparkSession, folder: str) -> DataFrame:

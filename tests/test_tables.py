@@ -87,6 +87,18 @@ def test_chunks(spark, collect):
     assert [r[1:3] for r in collect(chunks.line_windows(df.where("i = 1"), "i", "t", 4))] == [(0, 1), (1, 5), (2, 9)]
 
 
+def test_chunks_of_whole_texts(spark, collect):
+    """Texts that don't parse, without definitions, or empty ones are one chunk."""
+    df = spark.createDataFrame([(1, "x = 1\ndef f():\n    return x\n"), (2, "not python (\n"), (3, None), (4, ""), (5, "x = 1\r\n")], "i long, t string")
+    want = [(1, "<module>", "x = 1"), (1, "f", "def f():\n    return x"), (2, "<module>", "not python (\n"), (4, "<module>", ""), (5, "<module>", "x = 1\r\n")]
+    assert collect(chunks.python_chunks(df, "i", "t", whole=True)) == sorted(want, key=repr)
+
+
+def test_code_query_keeps_every_text(spark, collect, tmp_path):
+    spark.createDataFrame([(1, "code_chunk", "not python ("), (2, "code_chunk", "x = 1"), (3, "note", "x")], "doc_id long, doc_kind string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r[0] for r in collect(text_queries.t12_python_chunks(spark, str(tmp_path)))] == [1, 2]
+
+
 def test_question_enters_at_any_node(spark, collect, tmp_path):
     """Entry points are names of the graph, also those that the vocabulary does not hold."""
     columns = "subject_entity_name string, predicate string, object_entity_name string, document_id string, model_name string, predication_id string, prompt_filename string, extracted_at timestamp_ntz"
