@@ -1,14 +1,16 @@
 """References to records that do not exist, kept as state that grows batch by batch.
 
-The tracker holds three Parquet tables in the shared folder:
+The tracker holds four Parquet tables in the shared folder:
 
-* ``parents``  one row per key with the spans of time in which a record of it was live,
+* ``parents``  one row per key with the spans of time in which a record of it was live, and the times of removals,
 * ``pending``  the references that no span covers (the orphans),
+* ``resolved`` the references that a span covers,
 * ``tally``    the number of references per key, table, field and month.
 
-A batch brings references and spans. New references probe the parent index; spans that arrive probe only the waiting
-orphans, so work follows the size of the batch and of the orphans, not of the history. A snapshot counts, from the
-tally, the references whose key has no live record at a moment: a deletion reopens all references of its key there.
+A batch brings references, spans and removals. New references probe the parent index; spans that arrive probe only the
+waiting orphans; a removal ends the open spans of its key that began before it, and only a batch with removals probes the
+resolved references again: those after the removal are orphans from then on. A snapshot counts, from the tally, the
+references whose key has no live record at a moment: a deletion reopens all references of its key there.
 
 Skew: the index has one row for each key and the references are the streamed side of a plain join, so Spark splits a
 hot key's partition (adaptive skew join); counting is pre-aggregated before each shuffle.
@@ -29,6 +31,7 @@ _TEXT, _TIME = T.StringType(), T.TimestampNTZType()
 REFERENCES = T.StructType(
     [T.StructField(n, _TEXT) for n in ("space", "key", "table_name", "ref_field", "row_key")] + [T.StructField("at", _TIME)]
 )
+REMOVALS = T.StructType([T.StructField("space", _TEXT), T.StructField("key", _TEXT), T.StructField("live_until", _TIME)])
 SPANS = T.StructType([T.StructField("space", _TEXT), T.StructField("key", _TEXT), T.StructField("live_from", _TIME), T.StructField("live_until", _TIME)])
 
 
@@ -73,6 +76,13 @@ def _covered(all_spans: Column, at: Column) -> Column:
     )
 
 
+def _ended(all_spans: Column, ends: Column) -> Column:
+    """The spans, open ones ended by the first removal since their beginning."""
+    end = lambda s: F.array_min(F.filter(ends, lambda e: s["live_from"].isNull() | (e >= s["live_from"])))
+    closed = F.transform(all_spans, lambda s: F.struct(s["live_from"].alias("live_from"), F.coalesce(s["live_until"], end(s)).alias("live_until")))
+    return F.when(F.size(ends) == 0, all_spans).otherwise(closed)
+
+
 def period_of(at: Column) -> Column:
     """The month of a time as YYYY-MM, ``unknown`` without one."""
     return F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("unknown"))
@@ -82,7 +92,7 @@ class OrphanTracker:
     """Keyed pending-orphan state. ``ingest`` may be called any number of times; the order of batches doesn't matter.
 
     Defined cases: null and blank keys are no references and no records; a null time is covered by any record of the
-    key; repeated rows count in the tally as often as they come, and once in :meth:`found`; empty batches change
+    key; removals without key or time, and of keys without an open span, change nothing; repeated rows count in the tally as often as they come, and once in :meth:`found`; empty batches change
     nothing; columns besides those named are ignored.
     """
 
@@ -90,28 +100,39 @@ class OrphanTracker:
         self.spark = spark
         empty = lambda ddl: spark.createDataFrame([], ddl)
         span = "array<struct<live_from:timestamp_ntz,live_until:timestamp_ntz>>"
-        self.parents = empty(f"space string, key string, spans {span}")
-        self.pending = spark.createDataFrame([], REFERENCES)
+        self.parents = empty(f"space string, key string, spans {span}, ends array<timestamp_ntz>")
+        self.pending = self.resolved = spark.createDataFrame([], REFERENCES)
         self.tally = empty("space string, key string, table_name string, ref_field string, period string, n long")
         self.fresh = True
 
-    def ingest(self, refs: DataFrame, arrived: DataFrame) -> "OrphanTracker":
-        """Takes one batch into the state."""
-        new_spans = arrived.groupBy("space", "key").agg(F.collect_set(F.struct("live_from", "live_until")).alias("spans"))
-        if self.fresh:
-            self.parents = written(new_spans, "parents")
-            waiting = None
+    def ingest(self, refs: DataFrame, arrived: DataFrame, removed: DataFrame | None = None) -> "OrphanTracker":
+        """Takes one batch into the state; ``removed``: ``space, key, live_until`` of records deleted."""
+        arrivals = arrived.groupBy("space", "key").agg(F.collect_set(F.struct("live_from", "live_until")).alias("spans"))
+        arrivals = arrivals.withColumn("ends", F.array().cast("array<timestamp_ntz>"))
+        if removed is not None:
+            ends = removed.where("key is not null and live_until is not null").groupBy("space", "key").agg(F.collect_set("live_until").alias("ends"))
+            none = F.array().cast(self.parents.schema["spans"].dataType)
+            arrivals = arrivals.unionByName(ends.select("space", "key", none.alias("spans"), "ends"))
+        if not self.fresh or removed is not None:
+            arrivals = written(arrivals, "arrivals")
+            merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+            self.parents = written(self.parents.unionByName(arrivals).groupBy("space", "key").agg(merged("spans"), merged("ends")), "parents")
         else:
-            new_spans = written(new_spans, "arrivals")
-            self.parents = written(
-                self.parents.unionByName(new_spans).groupBy("space", "key").agg(
-                    F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")
-                ),
-                "parents",
-            )
-            waiting = self._uncovered(self.pending, new_spans)
-        orphans = self._uncovered(refs, self.parents)
-        self.pending = written(orphans if waiting is None else waiting.unionByName(orphans), "pending")
+            self.parents = written(arrivals, "parents")
+        fields = [f.name for f in REFERENCES.fields]
+        part = lambda df, ok: df.where(F.col("ok") == ok).select(*fields)
+        came = written(self._checked(refs, self.parents), "references")
+        pending, resolved = part(came, False), part(came, True)
+        if not self.fresh:
+            changed = self.parents.join(arrivals.select("space", "key").distinct(), ["space", "key"], "left_semi")
+            waited = written(self._checked(self.pending, changed), "pending")
+            pending, resolved = part(waited, False).unionByName(pending), part(waited, True).unionByName(resolved)
+            if removed is None:
+                resolved = self.resolved.unionByName(resolved)
+            else:
+                held = written(self._checked(self.resolved, changed, True), "resolved")
+                pending, resolved = part(held, False).unionByName(pending), part(held, True).unionByName(resolved)
+        self.pending, self.resolved = pending, resolved
         counts = refs.groupBy("space", "key", "table_name", "ref_field", period_of(F.col("at")).alias("period")).agg(
             F.count("*").alias("n")
         )
@@ -120,11 +141,11 @@ class OrphanTracker:
         return self
 
     @staticmethod
-    def _uncovered(refs: DataFrame, index: DataFrame) -> DataFrame:
-        return (
-            refs.join(index, ["space", "key"], "left")
-            .where(~_covered(F.col("spans"), F.col("at")))
-            .select(*[f.name for f in REFERENCES.fields])
+    def _checked(refs: DataFrame, index: DataFrame, without: bool = False) -> DataFrame:
+        """The references with ``ok``: whether a record covers them; ``without`` is that of keys not in the index."""
+        ok = _covered(_ended(F.col("spans"), F.col("ends")), F.col("at"))
+        return refs.join(index, ["space", "key"], "left").select(
+            *[f.name for f in REFERENCES.fields], F.when(F.col("spans").isNull(), without).otherwise(ok).alias("ok")
         )
 
     def found(self) -> DataFrame:
@@ -140,7 +161,7 @@ class OrphanTracker:
         live record at that moment (a record deleted since reopens them, one added since resolves them)."""
         live = F.coalesce(
             F.exists(
-                F.col("spans"),
+                _ended(F.col("spans"), F.col("ends")),
                 lambda s: (s["live_from"].isNull() | (s["live_from"] <= moment))
                 & (s["live_until"].isNull() | (moment < s["live_until"])),
             ),

@@ -14,7 +14,7 @@ from lattica.operators.orphans import OrphanTracker
 def track(
     spark: SparkSession, events: DataFrame, checkpoint: str, report: Callable[[DataFrame, int], None] | None = None
 ) -> tuple[StreamingQuery, OrphanTracker]:
-    """Runs the tracker over ``events``: rows with ``kind`` ('reference' or 'span') and the columns of both.
+    """Runs the tracker over ``events``: rows with ``kind`` ('reference', 'span' or 'removal') and the columns of all.
 
     ``report`` gets the current orphans after each micro-batch. The state is the tracker's written tables; a restarted
     query begins with its first batch, so pass a source that can be read again.
@@ -24,7 +24,8 @@ def track(
     def batch(df: DataFrame, batch_id: int) -> None:
         refs = df.where("kind = 'reference'").select("space", "key", "table_name", "ref_field", "row_key", "at")
         spans = df.where("kind = 'span'").select("space", "key", "live_from", "live_until")
-        state.ingest(refs, spans)
+        removed = df.where("kind = 'removal'").select("space", "key", "live_until")
+        state.ingest(refs, spans, None if removed.isEmpty() else removed)
         if report:
             report(state.found(), batch_id)
 

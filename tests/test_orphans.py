@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lattica.operators.orphans import REFERENCES, SPANS, OrphanTracker, references, spans
+from lattica.operators.orphans import REFERENCES, REMOVALS, SPANS, OrphanTracker, references, spans
 from lattica.streaming.orphan_stream import late_counts, track
 
 DAY = datetime(2024, 1, 1)
@@ -59,6 +59,27 @@ def test_late_parents_and_deletions(spark, collect):
     assert (open_at(39), open_at(41)) == (0, 2)  # the deletion reopens both
 
 
+def test_removal_in_a_later_batch(spark, collect):
+    """A removal reopens the references after it, in any order of the batches; a new record of the key is not ended."""
+    df = spark.createDataFrame
+    refs = [("s", "a", "t", "f", str(n), at(n)) for n in (5, 20, 31, 70)] + [("s", "b", "t", "f", "6", at(6)), ("s", "a", "t", "f", "0", None)]
+    batches = [
+        (refs[:2] + refs[4:], [("s", "a", at(3), None), ("s", "b", None, None)], None),
+        (refs[2:4], [], None),
+        ([], [], [("s", "a", at(10)), ("s", None, at(1)), ("s", "b", None), ("s", "c", at(1))]),
+        ([], [("s", "a", at(60), None)], None),
+    ]
+    for order in ((0, 1, 2, 3), (2, 3, 1, 0), (3, 0, 2, 1)):
+        state = OrphanTracker(spark)
+        for i in order:
+            r, live, removed = batches[i]
+            state.ingest(df(r, REFERENCES), df(live, SPANS), None if removed is None else df(removed, REMOVALS))
+        assert collect(state.found()) == [("t", "f", "20", "2024-01"), ("t", "f", "31", "2024-02")]
+        assert collect(state.report()) == [("t", "f", "2024-01", 1), ("t", "f", "2024-02", 1)]
+        open_at = lambda n, state=state: sum(x.open_refs for x in state.snapshot(F.lit(at(n)).cast("timestamp_ntz")).collect())
+        assert (open_at(9), open_at(32), open_at(75)) == (0, 4, 0)
+
+
 def test_unpivot_keys_and_clashing_columns(spark, collect):
     df = spark.createDataFrame([("r1", " K ", None, at(1), "x"), ("r1", " K ", None, at(1), "x"), ("r2", "", "\u00a0", at(1), "x"), (None, "m", "k", None, "x")], "id string, a string, b string, ts timestamp_ntz, space string")
     refs = references(df, "s", "t", "id", "ts", ["a", "b"])
