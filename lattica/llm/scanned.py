@@ -3,19 +3,22 @@
 Every text becomes its lines, one row each; what a line is follows from its shape, its neighbours (SQL windows within the
 document) and its support:
 
-* ``header``  a short line whose digits-masked skeleton is repeated in the document, or that reads as the beginning of
-  the title, a journal with its volume, or authors; with or without a page number at either end;
+* ``header``  a short line whose form with digits masked is repeated in the document, or differs from such a form by a
+  glyph or two, or that reads as the beginning of the title, or that has a form (digits and names masked) that stands in
+  many documents and there mostly beside a page number; with or without a page number at either end;
 * ``page``    nothing but a page number in any style; plain numbers only outside a table or beside a header;
 * ``hyphen``  a line whose last word goes on in the next line of running text, where the corpus knows the joined word
   better than the hyphenated one;
 * ``misread`` a line of running text with a word that has the same skeleton of confusable glyphs as a far more frequent
   word; where several forms are frequent, the one more often seen after the word before is chosen.
 
-The lexicon counts all undivided words of all texts (partial aggregation, one row a distinct word). Windows partition by
-document, so a task holds the lines of one text at a time; corpus-wide steps are keyed by words.
+The lexicon counts all undivided words of all texts (partial aggregation, one row a distinct word). Lines are shuffled
+once, by row of the table, and their windows share that order; words are not shuffled but counted: the misread words are
+a table of their own, whose written size lets Spark choose between a broadcast and a shuffle.
 
-Defined cases: null and empty texts give no lines and stay as they are; null titles match no header; null document ids
-are one group; texts without any finding stay as they are, character for character; other columns are ignored.
+Defined cases: null and empty texts give no lines and stay as they are; null titles match no header; every row is a
+document of its own, whether its id is null or repeated; texts without any finding stay as they are, character for
+character; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,10 +47,11 @@ _NUMBER = r"(?:\d{1,4}|[ivxlc]{1,8})"
 _STYLED = rf"(?i)^(?:(?:page|pages|p\.|pg\.?|pp\.?|seite|-|–|—|\[)\s*{_NUMBER}\s*(?:of\s+\d+|/\s*\d+)?\s*[-–—\]]?|[ivxlc]{{1,8}}|\d{{1,4}}\s*(?:of|/)\s*\d{{1,4}})$"
 _PLAIN = r"^\(?\d{1,4}\)?$"
 _CELL = r"^[-+(]?\d[\d.,]*%?\)?$"
-_CAPTION = r"^(?:(?:Table|Tab\.|Figure|Fig\.) \d+.{0,40}|[A-Z][a-z]+ (?:per|by) [\w-]+:?)$"
+_CAPTION = r"^(?:(?:Table|Tab\.|Figure|Fig\.) +\d+.{0,40}|[A-Z][a-z]+ +(?:per|by) +[\w-]+:?)$"
 _HEADING = r"^(?:\d+|[IVX]+)(?:\.\d+)*\.? +\p{Lu}[\p{L} -]{2,40}$"
-_JOURNAL = r"^\S.{2,50}(?: \S{1,4} \([\dOolI]{4}\)|, V\S{1,3} *\S{1,4},? N\S{1,2} *\S{1,4})$"
-_AUTHORS = r"^\S*\p{Lu}[\p{L}'0-9.-]+ (?:et al\.?|and \p{Lu}[\p{L}'0-9.-]+)$"
+#: A form of lines is one of headers if it stands in this share of the texts with page numbers, and in so many, and so
+#: often beside a page number; the share bounds the list of forms.
+FORM_SHARE, FORM_LEAST, FORM_BESIDE = 0.002, 3, 0.4
 
 
 def skeleton(word: Column, order: int = 0) -> Column:
@@ -57,66 +61,107 @@ def skeleton(word: Column, order: int = 0) -> Column:
     return word
 
 
-def text_lines(df: DataFrame, key: str, fields: list[str], title: str | None) -> DataFrame:
-    """key, field_name, title, line_no, line: the lines of all fields, from 1, blank ones included."""
+def text_lines(df: DataFrame, key: str, fields: list[str], title: str | None, doc: str | None = None) -> DataFrame:
+    """doc, key, field_name, title, line_no, line: the lines of all fields, from 1, blank ones included. ``doc`` names the
+    row; without a column for it rows are numbered."""
     texts = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])
     return (
-        df.select(F.col(key).alias("key"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.inline(texts))
+        df.select(
+            (F.col(doc) if doc else F.monotonically_increasing_id()).alias("doc"), F.col(key).alias("key"),
+            (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.inline(texts),
+        )
         .where(F.col("text") != "")
-        .select("key", "title", "field_name", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("key", "field_name", "title", (F.col("pos") + 1).alias("line_no"), "line")
-    )
+        .select("doc", "key", "title", "field_name", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("doc", "key", "field_name", "title", (F.col("pos") + 1).alias("line_no"), "line")
+    )
 
 
 def _words_only(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{Nd}]+", " "))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``kind``: header, page, or (not reported) blank, table, heading, text."""
-    core = F.trim(F.regexp_replace("line", r"[\f\r\t ]+", " "))
-    lines = lines.withColumn("bare", core).withColumn(
-        "core", F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^[\f\s]*(?:\d{1,4}|[ivxlc]+)\s{2,}", ""), r"\s{2,}(?:\d{1,4}|[ivxlc]+)\s*$", ""), r"^[\f\s]+|\s+$", "")
-    )
-    mask = F.lower(F.regexp_replace("core", r"\d", "#"))
-    words, title = _words_only(F.col("core")), _words_only(F.col("title"))
-    letters = F.regexp_replace("core", r"[^\p{L}]", "")
-    capitals = F.length(F.regexp_replace("core", r"[^\p{Lu}]", ""))
-    shape = (
-        (F.length("core").between(6, 70)) & F.col("core").rlike(r"^[\p{Lu}\d]") & ~F.col("core").rlike(r"[.,;?]$") & ~F.col("bare").rlike(_HEADING)
-        & ~F.col("bare").rlike(_CAPTION) & ~F.col("bare").rlike(_CELL) & (F.length(letters) >= 4)
+def _bare(line: Column) -> Column:
+    """The line without white space around it."""
+    return F.btrim(line, F.lit(" \f\r\t"))
+
+
+def _core(line: Column) -> Column:
+    """The line without a page number set apart at either end."""
+    return F.regexp_replace(line, r"^\s*(?:\d{1,4}|[ivxlc]+)\s{2,}|\s{2,}(?:\d{1,4}|[ivxlc]+)\s*$|^\s+|\s+$", "")
+
+
+def _may_be_header(core: Column, bare: Column) -> Column:
+    """Short, begins with a capital or digit, ends no sentence or clause; no heading, caption or cell."""
+    return (
+        F.length(core).between(6, 70) & core.rlike(r"^[\p{Lu}\d].*\p{L}.*[^.,;?]$|^\p{Lu}.* \p{Ll}{2}\.$") & ~bare.rlike(_HEADING) & ~bare.rlike(_CAPTION) & ~bare.rlike(_CELL)
     )
-    by_mask = Window.partitionBy("key", mask)
+
+
+def _form(core: Column) -> Column:
+    """The form of a line: words that hold digits and words with a capital masked, the others by their skeleton."""
+    masked = F.regexp_replace(F.regexp_replace(core, r"[^\s()]*\d[^\s(),.]*", "#"), r"[^\s()#]*\p{Lu}[^\s(),.]*", "N")
+    return F.regexp_replace(skeleton(masked), r"N(?: N)+", "N N")
+
+
+def header_forms(df: DataFrame, fields: list[str]) -> list[str]:
+    """Forms that stand in a share of the texts that have page numbers, and there mostly next to one. Neighbours are looked
+    up in the text's own array of lines, so only counts are shuffled."""
+    number = rf"(?:{_STYLED})|(?:{_PLAIN})"
+    texts = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text"))
+    texts = texts.where(F.col("text").rlike(r"(?m)^[\f ]*[-–—\[(]?(?:\p{L}+\.? ?)?\d{1,4}(?: ?(?:of|/) ?\d+)?[-–—\])]?[\r ]*$"))
+    lines = F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != "")
+    numbers = F.transform("lines", lambda x: x.rlike(number))
+    rows = texts.select(lines.alias("lines")).select("lines", numbers.alias("numbers"))
+    rows = rows.select(F.inline(F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.get("numbers", i - 1) | F.get("numbers", i + 1)).alias("beside")))))
+    rows = rows.where(_may_be_header(F.col("line"), F.col("line"))).groupBy(_form(F.col("line")).alias("form"))
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("beside").alias("beside")).where(F.col("n") >= FORM_LEAST)
+    total = texts.agg(F.count("*")).first()[0]
+    return [r.form for r in counts.where((F.col("n") >= FORM_SHARE * total) & (F.col("beside") >= FORM_BESIDE * F.col("n"))).select("form").collect()]
+
+
+def classified(lines: DataFrame, forms: list[str]) -> DataFrame:
+    """``doc, key, field_name, line_no, line`` with ``kind``: header, page, or (not reported) blank, table, heading, text;
+    of running text the words, whether the last one is divided (``ends``), and what the next line of text is and begins with."""
+    # long lines, and longer ones that go on with a small letter, are text without a closer look
+    lines = lines.withColumn("bare", _bare(F.col("line")))
+    lines = lines.withColumn("plain", (F.length("bare") > 90) | F.col("bare").rlike(r"^\p{Ll}.{14}"))
+    lines = lines.withColumn("core", F.when(F.col("plain"), "").otherwise(_core(F.col("line"))))
+    letters = F.length(F.regexp_replace("core", r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace("core", r"[^\p{Lu}]", ""))
+    lines = lines.withColumns(
+        {"head": F.when(~F.col("plain") & (F.length("core") <= 62), _words_only(F.col("core"))), "may": ~F.col("plain") & _may_be_header(F.col("core"), F.col("bare"))}
+    )
+    lines = lines.withColumn("name", F.when(F.length("head") >= 10, _words_only(F.col("title"))))
+    words, title = F.col("head"), F.col("name")
     near_title = (F.length(words) >= 10) & (F.length(words) <= F.length(title)) & (
         F.startswith(title, words) | ((F.length(words) >= 14) & (F.levenshtein(words, F.substring(title, F.lit(1), F.length(words))) <= 2))
     )
-    header = (
-        F.col("core").rlike(_AUTHORS)
-        | (F.col("core").rlike(_JOURNAL) & (F.length("core") <= 60))
-        | ((F.length("core") <= 62) & F.coalesce(near_title, F.lit(False)))
-        | (shape & (F.length(letters) >= 8) & (capitals >= 0.8 * F.length(letters)))
-        | (shape & (F.count("*").over(by_mask) >= 2) & F.col("core").contains(" "))
-    )
-    kind = (
+    static = (
         F.when(F.col("bare") == "", "blank")
+        .when(F.col("plain"), "text")
         .when(F.col("bare").rlike(_STYLED), "page")
         .when(F.col("bare").rlike(_PLAIN), "number")
         .when(F.col("bare").rlike(_CELL), "table")
         .when(F.col("bare").rlike(_CAPTION), "caption")
         .when(F.col("bare").rlike(_HEADING), "heading")
-        .when(header, "header")
-        .otherwise("text")
+        .when(F.coalesce(near_title, F.lit(False)), "header")
+        .when(F.col("may") & (letters >= 8) & (capitals >= 0.8 * letters), "header")
     )
+    static = static.when(F.col("may") & _form(F.col("core")).isin(*forms), "header") if forms else static
+    lines = lines.select("doc", "key", "field_name", "line_no", "line", static.otherwise("text").alias("static"), (F.col("may") & F.col("core").contains(" ")).alias("may"), "plain").repartition("doc")
+    mask = F.when(~F.col("plain"), F.lower(F.regexp_replace(_core(F.col("line")), r"\d", "#")))
+    lines = lines.withColumn("masked", mask)
+    repeated = F.col("may") & (F.col("static") == "text") & (F.count("*").over(Window.partitionBy("doc", "masked")) >= 2)
+    lines = lines.withColumn("kind", F.when(repeated, "header").otherwise(F.col("static")))
     # a line that differs by a glyph or two from a header of the same document is one too
-    lines = lines.withColumn("kind", kind).withColumn("masked", mask)
-    known = F.collect_set(F.when(F.col("kind") == "header", F.col("masked"))).over(Window.partitionBy("key"))
-    alike = F.exists(F.col("known"), lambda h: (F.abs(F.length(h) - F.length("masked")) <= 1) & (F.levenshtein(h, F.col("masked")) <= 2))
-    inline = F.col("line").rlike(r"^[\f\s]*(?:(?:\d{1,4}|[ivxlc]+)\s{3,}\S.*|\S.*\S\s{3,}(?:\d{1,4}|[ivxlc]+))\s*$")
+    known = F.collect_set(F.when(F.col("kind") == "header", F.col("masked"))).over(Window.partitionBy("doc"))
+    alike = F.exists(F.col("known"), lambda h: (F.abs(F.length(h) - F.length("masked")) <= 1) & (F.levenshtein(h, F.col("masked"), 2) >= 0))
+    inline = F.col("line").contains("   ") & F.col("line").rlike(r"^[\f\s]*(?:(?:\d{1,4}|[ivxlc]+)\s{3,}\S.*|\S.*\S\s{3,}(?:\d{1,4}|[ivxlc]+))\s*$")
     lines = lines.withColumn("known", known).withColumn(
         "kind",
-        F.when((F.col("kind") == "text") & (F.length("core").between(8, 70)) & ((inline & (F.length("core") <= 62)) | (alike & ~F.col("core").rlike(r"[,;?]$"))), "header").otherwise(F.col("kind")),
+        F.when((F.col("kind") == "text") & (F.length("masked").between(8, 70)) & ((inline & (F.length("masked") <= 62)) | (alike & ~F.col("masked").rlike(r"[,;?]$"))), "header").otherwise(F.col("kind")),
     )
-    order = Window.partitionBy("key", "field_name").orderBy("line_no")
+    order = Window.partitionBy("doc", "field_name").orderBy("line_no")
     cell = F.col("kind").isin("number", "table")
     # the last line before a run of cells says whether they are a table
     above = F.last(F.when(~cell, F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -125,38 +170,50 @@ def classified(lines: DataFrame) -> DataFrame:
     after = F.first(filled, ignorenulls=True).over(order.rowsBetween(1, 2))
     decimals = F.max((F.col("kind") == "table").cast("int")).over(order.rowsBetween(-1, 1))
     page = F.col("line").startswith("\f") | (F.coalesce(before, F.lit("")) == "header") | (F.coalesce(after, F.lit("")) == "header") | (
-        (F.coalesce(above, F.lit("")) != "caption") & (decimals == 0) & ~F.col("bare").startswith("(")
+        (F.coalesce(above, F.lit("")) != "caption") & (decimals == 0) & ~_bare(F.col("line")).startswith("(")
     )
-    return lines.select(
-        "key", "field_name", "line_no", "line",
+    lines = lines.select(
+        "doc", "key", "field_name", "line_no", "line",
         F.when((F.col("kind") == "number") & page, "page").when(cell | (F.col("kind") == "caption"), "table").otherwise(F.col("kind")).alias("kind"),
     )
+    # words of running text, in order; the next line of running text may go on with the last one
+    lines = lines.withColumn("bare", F.when(F.col("kind") == "text", _bare(F.col("line"))))
+    tail = F.substring_index("bare", " ", -1)
+    step = "over (partition by doc, field_name order by line_no)"
+    lines = lines.withColumns(
+        {
+            "hyphen": tail.rlike(f"[{_HYPHENS}]$") & (F.length(tail) > 1),
+            "next_line": F.expr(f"lead(case when kind = 'text' then line_no end) ignore nulls {step}"),
+            "next_word": F.expr(f"lead(substring_index(bare, ' ', 1)) ignore nulls {step}"),
+        }
+    )
+    lines = lines.withColumn("follows", F.coalesce(F.expr(f"lag(hyphen) ignore nulls {step}"), F.lit(False)))
+    ends = F.coalesce(F.col("hyphen") & F.col("next_line").isNotNull(), F.lit(False))
+    return lines.select(
+        "doc", "key", "field_name", "line_no", "line", "kind", (F.col("follows") & (F.col("kind") == "text")).alias("follows"), ends.alias("ends"),
+        F.when(ends, F.col("next_line")).alias("next_line"), F.when(ends, F.col("next_word")).alias("next_word"),
+    )
 
 
-def _tokens(text: DataFrame) -> DataFrame:
-    """Words of running text with their place; ``edge``: 1 the first part, 2 the last part of a word that may be divided."""
-    order = Window.partitionBy("key", "field_name").orderBy("line_no")
-    words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
-    text = text.withColumn("words", words)
-    ends = F.get("words", F.size("words") - 1).rlike(f"[{_HYPHENS}]$") & (F.length(F.get("words", F.size("words") - 1)) > 1)
-    text = text.withColumn("ends", F.coalesce(ends, F.lit(False)))
-    text = text.withColumn("follows", F.coalesce(F.lag("ends").over(order), F.lit(False)))
-    text = text.withColumn("next_line", F.lead("line_no").over(order)).withColumn("next_words", F.lead("words").over(order))
-    text = text.withColumn("ends", F.col("ends") & F.col("next_line").isNotNull())
-    return text
+def _split(line: Column) -> Column:
+    """The words of a line; the cheap split by one blank where no two stand together."""
+    line = _bare(line)
+    return F.when(line.contains("  ") | line.contains("\t"), F.split(line, r"\s+")).otherwise(F.split(line, " "))
 
 
 def _clean(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[\"'“”‘’\[{.,;:]+|[\"'“”‘’\]}.,;:?)]+$", "")
+    """In lower case, without the signs around it."""
+    return F.ltrim(F.rtrim(F.lower(word), F.lit("\"'“”‘’]}.,;:?)")), F.lit("\"'“”‘’[{.,;:"))
 
 
-def lexicon(tokens: DataFrame) -> DataFrame:
+def lexicon(text: DataFrame) -> DataFrame:
     """word, n of all undivided words."""
     whole = F.slice(
         "words", F.when(F.col("follows"), 2).otherwise(1),
         F.greatest(F.size("words") - F.col("follows").cast("int") - F.col("ends").cast("int"), F.lit(0)),
     )
-    return tokens.select(F.explode(whole).alias("w")).select(_clean(F.col("w")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    rows = text.select(_split(F.col("line")).alias("words"), "follows", "ends")
+    return rows.select(F.explode(whole).alias("w")).select(_clean(F.col("w")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _put(raw: Column, word: Column, form: Column) -> Column:
@@ -168,22 +225,23 @@ def _put(raw: Column, word: Column, form: Column) -> Column:
 class Findings:
     """The parts of a repair: classified lines, divided words, misread words with the forms meant."""
 
-    def __init__(self, df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("body", "abstract"), title: str | None = "title"):
-        self.lines = written(classified(text_lines(df, key, list(fields), title)), "lines")
-        self.tokens = written(_tokens(self.lines.where("kind = 'text'").select("key", "field_name", "line_no", "line")), "scan-tokens")
-        words = written(lexicon(self.tokens), "lexicon")
+    def __init__(
+        self, df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("body", "abstract"), title: str | None = "title", doc: str | None = None
+    ):
+        self.lines = written(classified(text_lines(df, key, list(fields), title, doc), header_forms(df, list(fields))), "lines")
+        self.text = self.lines.where("kind = 'text'")
+        words = written(lexicon(self.text), "lexicon")
         self.divided = written(self._divided(words), "divided")
-        self.forms = self._forms(words, self.divided)
+        self.forms = written(self._forms(words, self.divided), "forms")
         self.misread = written(self._misread(), "misread")
 
     def _divided(self, words: DataFrame) -> DataFrame:
         """Every line end with a hyphen: its parts, and whether the hyphen is the line's only."""
-        parts = self.tokens.where("ends").select(
-            "key", "field_name", "line_no", "next_line",
-            F.regexp_replace(F.lower(F.get("words", F.size("words") - 1)), rf"[{_HYPHENS}]$|^[\"'“‘\[]+", "").alias("a"),
-            _clean(F.get("next_words", F.lit(0))).alias("b"),
-            F.regexp_replace(F.get("words", F.size("words") - 1), rf"[{_HYPHENS}]$", "").alias("raw_a"), F.get("next_words", F.lit(0)).alias("raw_b"),
-            F.get("words", F.size("words") - 1).rlike("[¬­]$").alias("soft"),
+        last = F.regexp_extract("line", r"(\S+)\s*$", 1)
+        parts = self.text.where("ends").withColumn("last", last).select(
+            "doc", "key", "field_name", "line_no", "next_line",
+            F.regexp_replace(F.lower("last"), rf"[{_HYPHENS}]$|^[\"'“‘\[]+", "").alias("a"), _clean(F.col("next_word")).alias("b"),
+            F.regexp_replace("last", rf"[{_HYPHENS}]$", "").alias("raw_a"), F.col("next_word").alias("raw_b"), F.col("last").rlike("[¬­]$").alias("soft"),
         )
         pairs = parts.select("a", "b").distinct()
         best = words.groupBy(skeleton(F.col("word")).alias("skel")).agg(F.max("n").alias("n"))
@@ -199,7 +257,7 @@ class Findings:
         case = (F.col("joined") > F.col("kept")) | ((F.col("joined") == F.col("kept")) & (F.col("soft") | (F.col("apart") == 0)))
         return (
             parts.join(joined, ["a", "b"]).join(kept, ["a", "b"]).join(halves, ["a", "b"])
-            .select("key", "field_name", "line_no", "next_line", "a", "b", "raw_a", "raw_b", case.alias("is_case"))
+            .select("doc", "key", "field_name", "line_no", "next_line", "a", "b", "raw_a", "raw_b", case.alias("is_case"))
         )
 
     @staticmethod
@@ -221,26 +279,30 @@ class Findings:
 
     def _misread(self) -> DataFrame:
         """Each misread word: its line, its place in it (-1: divided at the line's end), the word and the form meant."""
-        whole = self.tokens.select("key", "field_name", "line_no", "follows", "ends", F.size("words").alias("size"), "words", F.posexplode("words").alias("pos", "raw"))
-        whole = whole.withColumn("before", F.coalesce(F.get("words", F.col("pos") - 1), F.lit("")))
-        whole = whole.where("not (follows and pos = 0) and not (ends and pos = size - 1)").select(
-            "key", "field_name", "line_no", "pos", _clean(F.col("raw")).alias("word"), _clean(F.col("before")).alias("before")
-        )
         # where several forms are meant, the one more often seen after the word before
         several = self.forms.groupBy("word").agg(F.collect_set("form").alias("forms")).where(F.size("forms") > 1)
-        several = several.select(F.explode("forms").alias("word")).distinct()
-        seen = whole.join(several, "word").groupBy("before", F.col("word").alias("form")).agg(F.count("*").alias("seen"))
+        several = written(several.select(F.explode("forms").alias("form")).distinct(), "several")
+        wanted = written(self.forms.select("word").unionByName(several.select(F.col("form").alias("word"))).distinct(), "wanted")
+        at = ("doc", "field_name", "line_no")
+        rows = self.text.select(*at, "follows", "ends", _split(F.col("line")).alias("words"))
+        rows = rows.withColumn("size", F.size("words")).select(*at, "follows", "ends", "size", F.posexplode("words").alias("pos", "raw"))
+        placed = rows.where("not (follows and pos = 0) and not (ends and pos = size - 1)").select(*at, "pos", _clean(F.col("raw")).alias("word")).join(wanted, "word")
+        # only where a wanted word stands is the word before it looked up
+        placed = written(placed, "placed")
+        before = F.coalesce(_clean(F.get(_split(F.col("line")), F.col("pos") - 1)), F.lit("")).alias("before")
+        placed = written(placed.join(self.text.select(*at, "key", "line"), list(at)).select(*at, "key", "pos", "word", before), "before")
+        seen = placed.withColumnRenamed("word", "form").join(several, "form").groupBy("before", "form").agg(F.count("*").alias("seen"))
+        hits = placed.join(self.forms, "word")
         found = (
-            whole.join(self.forms, "word")
-            .join(seen, ["before", "form"], "left")
-            .groupBy("key", "field_name", "line_no", "pos", "word")
+            hits.join(seen, ["before", "form"], "left")
+            .groupBy("doc", "key", "field_name", "line_no", "pos", "word")
             .agg(F.max_by("form", F.struct(F.coalesce("seen", F.lit(0)), "best", "form")).alias("form"))
         )
         ends = (
             self.divided.withColumn("word", F.when(F.col("is_case"), F.concat("a", "b")).otherwise(F.concat_ws("-", "a", "b")))
             .join(self.forms.groupBy("word").agg(F.max_by("form", F.struct("best", "form")).alias("form")), "word")
             .select(
-                "key", "field_name", "word", "form",
+                "doc", "key", "field_name", "word", "form",
                 F.explode(
                     F.filter(
                         F.array(
@@ -252,7 +314,7 @@ class Findings:
                 ).alias("line_no"),
             )
         )
-        return found.unionByName(ends.select("key", "field_name", "line_no", F.lit(-1).alias("pos"), "word", "form"))
+        return found.unionByName(ends.select("doc", "key", "field_name", "line_no", F.lit(-1).alias("pos"), "word", "form"))
 
     def cases(self) -> DataFrame:
         """key, field_name, line_no, kind of all findings, each once."""
@@ -264,27 +326,30 @@ class Findings:
         )
 
     def repaired(self) -> DataFrame:
-        """key, field_name, text: paragraphs in lines of their own, of the texts in which anything was found."""
-        touched = self.cases().select("key", "field_name").distinct()
-        fixes = self.misread.where("pos >= 0").groupBy("key", "field_name", "line_no").agg(F.map_from_entries(F.collect_set(F.struct(F.col("pos"), F.struct("word", "form")))).alias("fixes"))
+        """doc, field_name, text: paragraphs in lines of their own, of the texts in which anything was found."""
+        touched = (
+            self.lines.where(F.col("kind").isin("header", "page")).select("doc", "field_name")
+            .unionByName(self.divided.where("is_case").select("doc", "field_name")).unionByName(self.misread.select("doc", "field_name")).distinct()
+        )
+        fixes = self.misread.where("pos >= 0").groupBy("doc", "field_name", "line_no").agg(F.map_from_entries(F.collect_set(F.struct(F.col("pos"), F.struct("word", "form")))).alias("fixes"))
         ends = self.misread.where("pos = -1").select("word", "form").distinct()
         joins = self.divided.withColumn("word", F.when(F.col("is_case"), F.concat("a", "b")).otherwise(F.concat_ws("-", "a", "b"))).join(ends, "word", "left")
         raw = F.concat("raw_a", F.when(F.col("is_case"), "").otherwise("-"), "raw_b")
-        at = joins.select("key", "field_name", "line_no", F.when(F.col("form").isNotNull(), _put(raw, F.col("word"), F.col("form"))).otherwise(raw).alias("whole"))
-        taken = joins.select("key", "field_name", F.col("next_line").alias("line_no"), F.lit(True).alias("taken"))
-        order = Window.partitionBy("key", "field_name").orderBy("line_no")
-        kept = self.lines.where(~F.col("kind").isin("header", "page")).join(touched, ["key", "field_name"])
+        at = joins.select("doc", "field_name", "line_no", F.when(F.col("form").isNotNull(), _put(raw, F.col("word"), F.col("form"))).otherwise(raw).alias("whole"))
+        taken = joins.select("doc", "field_name", F.col("next_line").alias("line_no"), F.lit(True).alias("taken"))
+        order = Window.partitionBy("doc", "field_name").orderBy("line_no")
+        kept = self.lines.where(~F.col("kind").isin("header", "page")).join(touched, ["doc", "field_name"])
         # a blank line parts paragraphs, unless a page ended between two lines of one sentence
         previous = F.lag("kind").over(order)
         kept = kept.where("kind <> 'blank'").join(
-            kept.where("kind = 'blank'").select("key", "field_name", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("gap")),
-            ["key", "field_name", "line_no"], "left",
+            kept.where("kind = 'blank'").select("doc", "field_name", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("gap")),
+            ["doc", "field_name", "line_no"], "left",
         )
         ended = F.coalesce(F.lag("line").over(order).rlike(r"[.!?:]\s*$"), F.lit(True))
         new = (F.col("kind") != "text") | (previous != "text") | (F.col("line").rlike(r"^\s{3,}\S") & ended) | (F.col("gap").isNotNull() & ended)
         kept = kept.withColumn("paragraph", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order))
-        kept = kept.join(fixes, ["key", "field_name", "line_no"], "left").join(at, ["key", "field_name", "line_no"], "left").join(taken, ["key", "field_name", "line_no"], "left")
-        words = F.filter(F.split(F.trim(F.regexp_replace("line", "\f", "")), r"\s+"), lambda w: w != "")
+        kept = kept.join(fixes, ["doc", "field_name", "line_no"], "left").join(at, ["doc", "field_name", "line_no"], "left").join(taken, ["doc", "field_name", "line_no"], "left")
+        words = _split(F.col("line"))
         fixed = F.transform(
             words,
             lambda w, i: F.when(
@@ -295,20 +360,24 @@ class Findings:
         fixed = F.when(F.col("whole").isNotNull(), F.concat(F.slice(fixed, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.array("whole"))).otherwise(fixed)
         fixed = F.when(F.col("taken"), F.slice(fixed, 2, F.greatest(F.size(fixed), F.lit(1)))).otherwise(fixed)
         return (
-            kept.select("key", "field_name", "paragraph", "line_no", F.array_join(fixed, " ").alias("line"))
-            .groupBy("key", "field_name", "paragraph")
+            kept.select("doc", "field_name", "paragraph", "line_no", F.array_join(fixed, " ").alias("line"))
+            .groupBy("doc", "field_name", "paragraph")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("line"))
-            .groupBy("key", "field_name")
+            .groupBy("doc", "field_name")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "line"))), lambda x: F.trim(x["line"])), "\n\n").alias("text"))
         )
 
 
 def repaired_table(df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("body", "abstract"), title: str = "title") -> DataFrame:
     """key, field_name, text of every document and field; texts without a finding as they were."""
-    found = Findings(df, key, fields, title).repaired().withColumnRenamed("text", "better")
-    texts = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])
+    names = [F.col(c).alias(f"c{i}") for i, c in enumerate((key, title, *fields))]
+    rows = written(df.select(F.monotonically_increasing_id().alias("doc"), *names), "numbered")  # a row's number must stay its own
+    columns = dict(zip((f"c{i + 2}" for i in range(len(fields))), fields))
+    found = Findings(rows, "c0", tuple(columns), "c1", "doc").repaired().withColumnRenamed("text", "better")
+    texts = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("text")) for c in columns])
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in columns.items() for x in pair]), F.col("field_name"))
     return (
-        df.select(F.col(key).alias("key"), F.inline(texts))
-        .join(found, ["key", "field_name"], "left")
-        .select(F.col("key").alias(key), "field_name", F.coalesce("better", "text").alias("text"))
+        rows.select("doc", F.col("c0").alias("key"), F.inline(texts))
+        .join(found, ["doc", "field_name"], "left")
+        .select(F.col("key").alias(key), named.alias("field_name"), F.coalesce("better", "text").alias("text"))
     )
