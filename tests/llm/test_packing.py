@@ -48,3 +48,22 @@ def test_deterministic_and_empty(spark, collect):
     assert collect(packed(*frames(spark, []))) == []
     items, windows = frames(spark, sizes)
     assert collect(packed(items, windows.limit(0))) == []
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id or none are items of their own: no container is overfull, none is lost."""
+    items = spark.createDataFrame([(7, 200)] * 3 + [(None, 200)] * 3 + [(None, 30)] * 40, "doc_id long, tokens long")
+    windows = spark.createDataFrame([("w", 100)], "window_name string, capacity_tokens int")
+    rows = packed(items, windows, shard_items=10).collect()
+    loads = {}
+    for r in rows:
+        loads[r.container] = loads.get(r.container, 0) + r.tokens
+    assert max(loads.values()) <= 100 and sum(loads.values()) == 1200 + 1200 and len(rows) == 12 + 40
+
+
+def test_too_many_windows(spark):
+    import pytest
+
+    windows = spark.range(1001).selectExpr("cast(id as string) window_name", "cast(id + 1 as int) capacity_tokens")
+    with pytest.raises(ValueError):
+        packed(spark.createDataFrame([(1, 5)], "doc_id long, tokens long"), windows)
