@@ -40,6 +40,17 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per context window: documents packed, containers above the capacity, and documents whose pieces lost a token."""
+    sizes = written(counted(table(spark, folder, "documents")), "sizes")
+    windows = table(spark, folder, "context_window")
+    pieces = written(packed(sizes, windows), "pieces")
+    loads = pieces.groupBy("window_name", "container").agg(F.sum("tokens").alias("load")).join(F.broadcast(windows), "window_name")
+    overfull = loads.groupBy("window_name").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull"))
+    kept = pieces.groupBy("window_name", "doc_id").agg(F.sum("tokens").alias("held")).join(sizes, "doc_id")
+    return kept.groupBy("window_name").agg(F.count("*").alias("docs"), F.count_if(F.col("held") != F.col("tokens")).alias("lossy")).join(overfull, "window_name")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_chars(table(spark, folder, "documents"))
 
@@ -50,7 +61,10 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_kept": p7_kept,
     "p8_found": p8_found, "p8_spans": p8_spans,
 }
-ORACLE = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+ORACLE = {
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p7_kept": "select window_name, count(*) docs, 0 lossy, 0 overfull from documents, context_window group by 1",
+}
