@@ -13,7 +13,8 @@ and are read once for each batch. Grams and windows are counted with partial agg
 of all documents is one row for each task; the join back has the texts on its streamed side.
 
 Defined cases: null and short texts have no spans; a null id cannot be reported and its row is left out; rows of one id
-count as one document if their texts are alike, and a repeat within one text is none; other columns are ignored.
+count as one document if their texts are alike, and a repeat within one text is none; other columns are ignored. Windows
+and texts are named by 64 bits, so among ten billion windows about three unequal ones are taken for equal.
 """
 
 from __future__ import annotations
@@ -133,9 +134,10 @@ def shared_windows(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame
                         names=["text_key", "start", "window"],
                     )
 
+    # copies fall away before the join, in each task first, so that a text of a third of all documents is a row for a task
     candidates = written(
-        texts.join(wanted, "text_key")
-        .dropDuplicates(["text_key"])
+        texts.groupBy("text_key").agg(F.first("text").alias("text"))
+        .join(wanted, "text_key")
         .select("text_key", "text", "grams")
         .mapInArrow(windows, "text_key long, start int, window long"),
         "windows",
