@@ -66,7 +66,7 @@ def copy_classes(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
     """``k``, ``digest`` of each row that may have copies. ``fields``: name -> whether ``B, A`` means ``A B`` in it."""
     rows = _keyed(df, key, fields)
     values = [F.col(f"v{i}") for i in range(len(fields))]
-    rows = rows.withColumn("inv", invariant(values))
+    rows = written(rows.withColumn("inv", invariant(values)), "invariants")  # read twice, computed once
     several = rows.groupBy("inv").agg(F.count("*").alias("n")).where("n > 1").select("inv")
     parts = [F.coalesce(content(v, name), F.lit("\x00")) for v, name in zip(values, fields.values())]
     return rows.join(several, "inv", "left_semi").select("k", F.unhex(F.md5(F.concat_ws("\x01", *parts))).alias("digest"))
