@@ -108,6 +108,12 @@ def blocks(df: DataFrame, id_col: str, text_col: str, pattern: str = PATTERN, bl
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
+def _single(encoding):
+    """Encodes the bytes of one pre-token: without cutting it again where the library lets us."""
+    inner = getattr(encoding, "_core_bpe", None)
+    return inner.encode_single_piece if hasattr(inner, "encode_single_piece") else lambda piece: encoding.encode_ordinary(piece.decode())
+
+
 def _words(spark: SparkSession, rows: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
     """The blocks' words with their numbers, and each distinct word of the corpus with its ids."""
     lines, pattern = spark.sparkContext.broadcast(vocabulary.lines()), vocabulary.pattern
@@ -115,7 +121,7 @@ def _words(spark: SparkSession, rows: DataFrame, vocabulary: Vocabulary) -> tupl
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = None
         for batch in batches:
-            one = one or _encoding(lines.value, pattern)._core_bpe.encode_single_piece
+            one = one or _single(_encoding(lines.value, pattern))
             ids = [one(w.encode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
