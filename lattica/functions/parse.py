@@ -13,34 +13,15 @@ NO_TRIPLES = (
     "no verifiable information",
 )
 
-_Q, _V = "[\"']", "[^\"']*"
-
-
-def _ordered(*keys: str) -> str:
-    """An object that has the keys in this order with quoted values."""
-    pairs = r"\s*,\s*".join(rf"{_Q}{k}{_Q}\s*:\s*{_Q}{_V}{_Q}" for k in keys)
-    return rf"\{{[^{{}}]*{pairs}[^{{}}]*\}}"
-
-
-#: Tier 1 in two spellings, tier 3 in order of trial.
-STRICT = (_ordered("h", "r", "t"), _ordered("subject", "(?:relation|predicate)", "object"))
-LENIENT = tuple(
-    "(?is)" + r"\{" + "".join(rf"[^}}]*{k}" for k in keys) + r"[^}]*\}"
-    for keys in (("h", "r", "t"), ("subject", "relation", "object"), ("head", "relation", "tail"))
-)
-
-
 def stripped(value: Column) -> Column:
     """Without white space of any kind around it."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
 def json_cleaned(value: Column) -> Column:
-    """Single quotes doubled, blanks beside braces, commas and colons gone, trailing commas gone."""
-    steps = (
-        ("'([^']*)'", '"$1"'), (r"\{\s*", "{"), (r"\s*\}", "}"), (r",\s*", ","), (r"\s*:", ":"), (r",\s*\}", "}"), (r",\s*\]", "]"),
-    )
-    return reduce(lambda v, s: F.regexp_replace(v, *s), steps, F.btrim(value, F.lit(" \n\r\t")))
+    """Single-quoted parts double-quoted; no blanks inside braces, before colons and after commas; no comma before an end."""
+    doubled = F.regexp_replace(F.btrim(value, F.lit(" \n\r\t")), "'([^']*)'", '"$1"')
+    return F.regexp_replace(doubled, r"(?<=\{)\s+|,\s*(?=[}\]])|(?<=,)\s+|\s+(?=[}:])", "")
 
 
 def json_slice(line: Column) -> Column:
@@ -49,9 +30,13 @@ def json_slice(line: Column) -> Column:
     return F.when(found != "", found)
 
 
-def triple_of(text: Column) -> Column:
-    """Struct h, r, t of one JSON object, other spellings of the keys included; null where one is missing or blank."""
-    entries = F.map_entries(F.from_json(text, "map<string,string>", {"allowUnquotedControlChars": "true"}))
+def _entries(text: Column) -> Column:
+    """Keys and values of a JSON object in their order; null if it is none."""
+    return F.map_entries(F.from_json(text, "map<string,string>", {"allowUnquotedControlChars": "true"}))
+
+
+def _triple(entries: Column) -> Column:
+    """Struct h, r, t of an object's entries, by any of its keys' spellings; null where one is missing or blank."""
 
     def value(key: str, *aliases: str) -> Column:
         # a key given twice counts as it comes last
@@ -63,17 +48,31 @@ def triple_of(text: Column) -> Column:
     return F.when(valid, F.struct(h.alias("h"), r.alias("r"), t.alias("t")))
 
 
-def _triples(texts: Column) -> Column:
-    return F.filter(F.transform(texts, lambda x: triple_of(json_cleaned(x))), lambda x: x.isNotNull())
+def triple_of(text: Column) -> Column:
+    """Struct h, r, t of one JSON object, other spellings of the keys included; null where one is missing or blank."""
+    return _triple(_entries(text))
+
+
+def _in_order(entries: Column) -> Column:
+    """Whether an object names the parts of a triple one after the other, with values that hold no quotes."""
+    keys = F.concat(F.lit(" "), F.array_join(F.transform(entries, lambda e: e["key"]), " "), F.lit(" "))
+    named = reduce(lambda a, b: a | b, [keys.contains(f" {k} ") for k in ("h r t", "subject relation object", "subject predicate object")])
+    return named & ~F.exists(entries, lambda e: e["value"].rlike("[\"']"))
 
 
 def response_triples(response: Column) -> Column:
-    """Triples of a model's response by tiers: a lower one is tried only where those above found nothing."""
-    everything = lambda pattern: F.regexp_extract_all(response, F.lit(pattern), F.lit(0))
-    strict = _triples(F.concat(*[everything("(?s)" + p) for p in STRICT]))
-    lines = F.filter(F.transform(F.split(F.trim(response), "\n"), json_slice), lambda x: x.isNotNull())
-    tiers = [strict, _triples(lines), *[_triples(everything(p)) for p in LENIENT]]
-    found = reduce(lambda rest, tier: F.when(F.size(tier) > 0, tier).otherwise(rest), reversed(tiers[:-1]), tiers[-1])
+    """Triples of a model's response, by tiers: objects without braces in them whose keys stand in order; each line from
+    its first opening to its last closing brace; whatever stands between an opening and the next closing brace. A lower
+    tier is tried only where those above found nothing."""
+    present = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    parsed = lambda texts: F.transform(texts, lambda x: _entries(json_cleaned(x)))
+    flat = F.regexp_extract_all(response, F.lit(r"\{[^{}]*\}"), F.lit(0))
+    ordered = present(F.transform(F.filter(parsed(flat), _in_order), _triple))
+    lines = present(F.transform(F.split(F.trim(response), "\n"), json_slice))
+    opened = F.filter(F.slice(F.split(response, r"\{"), 2, 2147483647), lambda x: x.contains("}"))
+    rest = F.transform(opened, lambda x: F.concat(F.lit("{"), F.substring_index(x, "}", 1), F.lit("}")))
+    by_line, by_brace = (present(F.transform(parsed(x), _triple)) for x in (lines, rest))
+    found = F.when(F.size(ordered) > 0, ordered).when(F.size(by_line) > 0, by_line).otherwise(by_brace)
     return F.when(F.trim(response) != "", found).otherwise(F.array().cast("array<struct<h:string,r:string,t:string>>"))
 
 
@@ -147,7 +146,7 @@ def sections(df: DataFrame, key: str, text: str, fallback: bool = True) -> DataF
         return found
     whole = (
         df.select(F.col(key).alias("key"), F.col(text).alias("body"))
-        .where(~F.col("body").rlike(r"(?m)^\s*#{2,}(?:\s|$)"))
+        .where(~F.col("body").rlike(r"(?:^|\n)[^\S\n]*#{2,}(?:\s|$)"))
         .select("key", F.lit(1).alias("section_no"), F.lit(1).alias("level"), F.lit("Full Text").alias("heading"), F.btrim("body", F.lit(" \n")).alias("body"))
     )
     return found.unionByName(whole)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from functools import cache, reduce
 
@@ -33,9 +34,10 @@ CLEANUP = (
 
 @cache
 def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
-    """From the character database: characters that fold to one ASCII character, and in the common blocks to several."""
+    """From the character database: characters that fold to one ASCII character, and those that fold to several. A text's
+    decomposition is that of its characters, as what reordering touches is no ASCII."""
     source, target, several = [], [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         if 0xD800 <= code < 0xE000:
             continue
@@ -43,7 +45,7 @@ def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
         if len(folded) == 1:
             source.append(char)
             target.append(folded)
-        elif len(folded) > 1 and (code < 0x180 or 0x2000 <= code < 0x2190 or 0xFB00 <= code <= 0xFB06):
+        elif folded:
             several.append((char, folded))
     return "".join(source), "".join(target), several
 
@@ -53,6 +55,7 @@ def ascii_fold(value: Column) -> Column:
     source, target, several = _compatibility()
     # most values are ASCII, and most others have none of the characters that fold to several: those steps are skipped
     pairs = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in several])), "array<struct<c:string,f:string>>")  # one literal
+    pairs = F.filter(pairs, lambda p: value.contains(p["c"]))
     long = F.when(value.rlike("[" + "".join(c for c, _ in several) + "]"), F.aggregate(pairs, value, lambda v, p: F.replace(v, p["c"], p["f"])))
     folded = F.regexp_replace(F.translate(F.coalesce(long, value), source, target), r"[^\x00-\x7F]", "")
     return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
@@ -152,21 +155,23 @@ def second_token(value: Column) -> Column:
     return F.regexp_replace(F.get(F.split(value, " "), F.lit(1)), "^doi:", "")
 
 
+#: What an HTML tag becomes; ``\ue000`` and ``\ue001`` take the white space after and before them away.
+_MARKS = {f"h{n}": "\n" + "#" * n + " \ue000" for n in range(1, 5)} | {f"/h{n}": "\ue001\n" for n in range(1, 5)} | {
+    "pre": "\n```\n\ue000", "/pre": "\ue001\n```\n", "code": "`\ue000", "/code": "\ue001`", "li": "- ", "/li": "\n", "br": "\n", "/p": "\n\n",
+}
+
+
 def html_to_text(html: Column) -> Column:
-    """HTML as rough Markdown: headings, code, lists and paragraphs kept as marks, other tags gone."""
-    steps = [(r"(?is)<(script|style)[^>]*>.*?</\1>", "")]
-    steps += [(rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h{n}>", "\n" + "#" * n + r" $1" + "\n") for n in range(1, 5)]
-    steps += [
-        (r"(?is)<pre[^>]*>\s*(.*?)\s*</pre>", "\n```\n$1\n```\n"),
-        (r"(?is)<code[^>]*>\s*(.*?)\s*</code>", "`$1`"),
-        (r"(?is)<li[^>]*>(.*?)</li>", "- $1\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"),
-        (r"<[^>]+>", ""),
-        (r"\n{4,}", "\n\n\n"),
-        (r"^\s+|\s+$", ""),
-    ]
-    return reduce(lambda v, s: F.regexp_replace(v, *s), steps, html)
+    """HTML as rough Markdown: headings, code, lists and paragraphs kept as marks, other tags gone, scripts and styles too.
+
+    The page is cut into tags and what stands between them; every tag is looked up by its name, and the pieces are joined."""
+    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    pieces = F.regexp_extract_all(shown, F.lit(r"<[^<>]+>|[^<]+|<"), F.lit(0))
+    marks = F.create_map(*[F.lit(x) for pair in _MARKS.items() for x in pair])
+    name = lambda tag: F.lower(F.regexp_extract(tag, r"^<\s*(/?\s*\w+)", 1))
+    rendered = F.transform(pieces, lambda x: F.when(x.rlike("^<[^<>]+>$"), F.coalesce(F.try_element_at(marks, name(x)), F.lit(""))).otherwise(x))
+    text = F.regexp_replace(F.array_join(rendered, ""), "\ue000\\s*|\\s*\ue001", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
 
 
 def without_jats(value: Column) -> Column:
@@ -231,3 +236,17 @@ def as_int(value: Column, default: int = 0) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     """An id that is the same in every run."""
     return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\x1f", *parts), 256))
+
+
+def skipped_path(path: Column, segments: tuple[str, ...], begins: tuple[str, ...], ends: tuple[str, ...]) -> Column:
+    """Whether a path leads through one of the folders, or its file's name begins or ends with one of the texts."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    hit = F.arrays_overlap(parts, F.array(*map(F.lit, segments)))
+    return reduce(lambda a, b: a | b, [*[name.startswith(x) for x in begins], *[name.endswith(x) for x in ends]], hit)
+
+
+def language_of(path: Column, languages: dict[str, str]) -> Column:
+    """The language by a path's last suffix; null if none is known."""
+    named = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
+    return F.try_element_at(named, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))

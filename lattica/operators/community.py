@@ -1,9 +1,12 @@
-"""Communities by local moving and aggregation, with joins only.
+"""Communities by local moving, refinement and aggregation (Leiden; Louvain without the refinement), with joins only.
 
-Each round every node looks at the communities of its neighbours (one grouped sum), takes the one with the greatest gain
-(ties: the least label), and moves if it is in the half of the nodes whose turn it is; taking turns by a hash keeps two
-neighbours from swapping for ever. When a level settles, communities become the nodes of a weighted graph and the next
-level begins. The objective is modularity or, with ``gamma``, the constant Potts model.
+Each round every node looks at the communities of its neighbours (one grouped sum) and takes the one with the greatest
+gain (ties: the least label) if that is better than where it is; of the nodes that want to move those do whose turn it is.
+Turns are dealt anew by a hash in each round, so two neighbours can't swap for ever. A level ends when no node wants to
+move. Leiden then parts each community again: from single nodes, those still alone join the best part of their own
+community. Communities (Leiden: parts, which begin in their community) become the nodes of a weighted graph and the next
+level begins, until a level brings nothing together. The objective is modularity or, with ``gamma``, the constant Potts
+model.
 """
 
 from __future__ import annotations
@@ -12,78 +15,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import components
-from lattica.session import written
-
-
-def _moved(edges: DataFrame, state: DataFrame, total: float, gamma: float | None, turn: int) -> DataFrame:
-    """state: node, weight (degree or size), community; edges: src, dst, w in both directions without loops."""
-    sums = state.groupBy("community").agg(F.sum("weight").alias("in_community"))
-    near = (
-        edges.join(state.select(F.col("node").alias("dst"), "community"), "dst")
-        .groupBy(F.col("src").alias("node"), "community")
-        .agg(F.sum("w").alias("to"))
-    )
-    own = state.select("node", "weight", F.col("community").alias("own"))
-    options = near.join(own, "node").join(sums, "community")
-    others = F.col("in_community") - F.when(F.col("community") == F.col("own"), F.col("weight")).otherwise(0)
-    gain = F.col("to") - (F.lit(gamma) if gamma is not None else 1 / F.lit(total)) * F.col("weight") * others
-    best = (
-        options.withColumn("gain", F.round(gain, 9))
-        .groupBy("node", "own")
-        .agg(
-            F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stays"), (-F.col("community")).alias("less"))).alias("to"),
-            F.max("gain").alias("gain"),
+from lattica.session import drop_written, written
+
+#: Rounds of a level beyond which something is wrong: the operator fails rather than returning what has not settled.
+SAFETY = 1000
+
+
+def _settled(edges: DataFrame, start: DataFrame, total: float, gamma: float | None, parts: bool) -> DataFrame:
+    """``node, weight, within, community`` when no node wants to move any more. ``start``: the same (``within``: the
+    community that a node may not leave; ``parts``: only nodes that are alone move); edges: src, dst, w in both directions."""
+    state, per = start, F.lit(gamma) if gamma is not None else 1 / F.lit(total or 1.0)
+    for turn in range(SAFETY):
+        sums = state.groupBy("community").agg(F.sum("weight").alias("held"), F.count("*").alias("members"))
+        of = state.select(F.col("node").alias("dst"), "community", F.col("within").alias("near_within"))
+        own = state.select("node", "weight", "within", F.col("community").alias("own"))
+        options = (
+            edges.join(of, "dst").groupBy(F.col("src").alias("node"), "community", "near_within").agg(F.sum("w").alias("to")).join(own, "node").join(sums, "community")
+        )
+        if parts:
+            alone = sums.where("members = 1").select(F.col("community").alias("own"))
+            options = options.where(F.col("within") == F.col("near_within")).join(alone, "own", "left_semi")
+        others = F.col("held") - F.when(F.col("community") == F.col("own"), F.col("weight")).otherwise(0)
+        gain = F.round(F.col("to") - per * F.col("weight") * others, 9)
+        best = (
+            options.withColumn("gain", gain).groupBy("node", "own")
+            .agg(
+                F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stays"), (-F.col("community")).alias("less"))).alias("to"),
+                F.max("gain").alias("gain"),
+            )
+            .where((F.col("gain") > 0) & (F.col("to") != F.col("own")))
+            .select("node", "to", (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0).alias("turn"))
+        )
+        moved = state.join(best, "node", "left").select(
+            "node", "weight", "within", F.when(F.col("turn"), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("to").isNotNull().alias("wants")
         )
-        .where((F.col("gain") > 0) & (F.col("to") != F.col("own")) & (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2))
-        .select("node", "to")
-    )
-    return state.join(best, "node", "left").select("node", "weight", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
+        moved = written(moved, "moving")
+        if state is not start:
+            drop_written(state)
+        if moved.where("wants").isEmpty():
+            return moved
+        state = moved
+    raise RuntimeError(f"communities still move after {SAFETY} rounds")
 
 
-def communities(
-    edges: DataFrame, gamma: float | None = None, levels: int = 3, rounds: int = 6, src: str = "src", dst: str = "dst"
-) -> DataFrame:
-    """``node, community`` of an undirected graph of long ids; parallel edges add up. ``gamma``: constant Potts model.
+def communities(edges: DataFrame, gamma: float | None = None, refine: bool = True, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``node, community`` of an undirected graph of long ids; parallel edges add up. ``gamma``: constant Potts model;
+    ``refine``: Leiden, else Louvain.
 
     Communities are parted into their connected pieces at the end, so each is connected.
     """
     links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst")
     both = links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
-    graph = written(both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "graph")
-    base = graph
+    base = graph = written(both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "graph")
     degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("weight"))
-    total = (degree.agg(F.sum("weight")).first()[0] or 0.0)
+    total = degree.agg(F.sum("weight")).first()[0] or 0.0
     if gamma is not None:
         degree = degree.select("node", F.lit(1.0).alias("weight"))
-    labels = written(degree.select("node", F.col("node").alias("community")), "labels")
-    weights = written(degree, "weights")
-    for _ in range(levels):
-        state = weights.withColumn("community", F.col("node"))
-        moved_any = False
-        for turn in range(rounds):
-            state = written(_moved(graph, state, total, gamma, turn), "moving")
-            moved = state.where("moved").limit(1).count()
-            moved_any |= bool(moved)
-            state = state.drop("moved")
-            if not moved and turn % 2:
-                break
-        if not moved_any:
+    state = written(degree.select("node", "weight", F.lit(0).cast("long").alias("within"), F.col("node").alias("community")), "state")
+    labels = written(degree.select("node", F.col("node").alias("inner")), "labels")  # which node of the present graph holds it
+    while True:
+        settled = _settled(graph, state, total, gamma, False)
+        joined = settled.groupBy("community").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        if joined:
             break
-        mapping = state.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        labels = written(labels.join(mapping, "community").select("node", F.col("next").alias("community")), "labels")
-        ends = lambda end: state.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+        if refine:
+            begin = written(settled.select("node", "weight", F.col("community").alias("within"), F.col("node").alias("community")), "state")
+            parts = _settled(graph, begin, total, gamma, True)
+            if parts.where("node <> community").isEmpty():  # nothing to put together: the communities themselves go on
+                parts = settled.withColumn("within", F.col("community"))
+        else:
+            parts = settled.withColumn("within", F.col("community"))
+        mapping = parts.select(F.col("node").alias("inner"), F.col("community").alias("next"))
+        labels = written(labels.join(mapping, "inner").select("node", F.col("next").alias("inner")), "labels", replaces=labels)
+        ends = lambda end: parts.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: E731,B023
         graph = written(
             graph.join(ends("src"), "src").join(ends("dst"), "dst").where("c_src <> c_dst")
             .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")),
             "graph",
         )
-        weights = written(state.groupBy(F.col("community").alias("node")).agg(F.sum("weight").alias("weight")), "weights")
+        # a part begins in its community, named by the least of the community's parts
+        groups = parts.groupBy("community", "within").agg(F.sum("weight").alias("weight"))
+        names = groups.groupBy("within").agg(F.min("community").alias("name"))
+        state = written(
+            groups.join(names, "within").select(F.col("community").alias("node"), "weight", F.lit(0).cast("long").alias("within"), F.col("name").alias("community")), "state"
+        )
+    final = settled.select(F.col("node").alias("inner"), "community")
+    labels = written(labels.join(final, "inner").select("node", "community"), "labels")
     side = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
     inner = base.where("src < dst").join(side("src"), "src").join(side("dst"), "dst").where("c_src = c_dst").select("src", "dst")
     pieces = components(inner)
     return labels.join(pieces, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
+def potts(edges: DataFrame, membership: DataFrame, gamma: float, src: str = "src", dst: str = "dst") -> DataFrame:
+    """One row ``quality`` of a labelling under the constant Potts model: edges inside less gamma for each inner pair."""
+    of = lambda end: membership.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    rows = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").join(of("src"), "src").join(of("dst"), "dst")
+    inner = rows.agg(F.count_if(F.col("c_src") == F.col("c_dst")).alias("inner"))
+    pairs = membership.groupBy("community").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    return inner.crossJoin(F.broadcast(pairs)).select((F.col("inner") - gamma * F.col("pairs")).alias("quality"))  # one row each
+
+
+def inside_counts(edges: DataFrame, membership: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``community, nodes, inner, cut``: per community its nodes, the edges inside and those that leave it."""
+    of = lambda end: membership.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    rows = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).join(of("src"), "src").join(of("dst"), "dst")
+    ends = rows.select(F.explode(F.array_distinct(F.array("c_src", "c_dst"))).alias("community"), (F.col("c_src") == F.col("c_dst")).alias("same"))
+    counts = ends.groupBy("community").agg(F.count_if("same").alias("inner"), F.count_if(~F.col("same")).alias("cut"))
+    nodes = membership.groupBy("community").agg(F.count("*").alias("nodes"))
+    return nodes.join(counts, "community", "left").select("community", "nodes", F.coalesce("inner", F.lit(0)).alias("inner"), F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
 def at_least(membership: DataFrame, size: int) -> DataFrame:
     """Nodes of communities of at least so many nodes."""
     large = membership.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("community")

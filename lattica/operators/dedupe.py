@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lattica.session import written
 
 
-def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str], columns: list[str] | None = None) -> DataFrame:
     """The first row of each key; null keys are a key of their own. One aggregate with map-side combine, so a hot key is
-    one row per task: the row travels as the struct that the order is the least of."""
+    one row per task: the row travels as the struct that the order is the least of. ``columns``: those that the result
+    keeps; name them, as the scan can't be pruned through the struct."""
     # the row is packed first, so that no column's name can clash
     packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("__row"),
         F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]).alias("__order"),
         *[(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(keys)],
     )
@@ -27,8 +28,10 @@ def duplicates(df: DataFrame, fields: list[str], key) -> DataFrame:
     return keyed.join(counts, [f"key_{f}" for f in fields]).select(*fields, "frequency")
 
 
-def processed_first(df: DataFrame, key: str, processed: str, order: list[Column | str]) -> DataFrame:
-    """Of rows with the same key the first processed one, else the last; rows without a key all stay."""
+def processed_first(df: DataFrame, key: str, processed: str, order: list[Column | str], columns: list[str] | None = None) -> DataFrame:
+    """Of rows with the same key the first processed one, else the last; rows without a key all stay. ``columns``: those
+    that the result keeps."""
+    df = df.select(*dict.fromkeys([*columns, key, processed, *order])) if columns else df
     is_done = F.coalesce(F.col(processed), F.lit(False))
     done = df.where(F.col(key).isNotNull() & is_done)
     rest = df.where(F.col(key).isNotNull() & ~is_done)

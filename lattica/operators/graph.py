@@ -46,7 +46,7 @@ def induced(edges: DataFrame, nodes: DataFrame, node: str = "node", src: str = "
     return edges
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node``, ``component``: the least node that can be reached.
 
     Large-star and small-star rounds (Kiveris and others, 2014): each contracts the edges towards least neighbours, so
@@ -69,13 +69,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         return out.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
     sums = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    before = sums(state)
-    for _ in range(most_rounds):
-        state = written(star(star(state, True), False), "components")
-        after = sums(state)
-        if after == before:
-            break
-        before = after
+    before, after = None, sums(state)
+    while after != before:
+        state = written(star(star(state, True), False), "components", replaces=state)
+        before, after = after, sums(state)
     return nodes.join(state.select(F.col("dst").alias("node"), F.col("src").alias("c")), "node", "left").select(
         "node", F.coalesce("c", "node").alias("component")
     )

@@ -7,6 +7,8 @@ takes its least bridge); the ways back from the bridges' ends to their terminals
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lattica.operators.graph import components, undirected, without_loops
 from lattica.session import written
 
 
-def steiner(edges: DataFrame, terminals: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", most_waves: int = 60) -> DataFrame:
+def steiner(edges: DataFrame, terminals: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """``src, dst`` of the tree's edges (of one tree for each component that holds terminals)."""
     links = written(without_loops(undirected(edges, src, dst)), "links")
     both = links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
@@ -22,7 +24,7 @@ def steiner(edges: DataFrame, terminals: DataFrame, node: str = "node", src: str
     start = terminals.select(F.col(node).alias("node")).distinct().join(ends, "node", "left_semi")
     reached = written(start.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")), "reached")
     frontier = reached
-    for depth in range(1, most_waves + 1):
+    for depth in itertools.count(1):
         step = (
             both.join(frontier.select(F.col("node").alias("src"), "root"), "src")
             .groupBy(F.col("dst").alias("node"))
@@ -41,7 +43,7 @@ def steiner(edges: DataFrame, terminals: DataFrame, node: str = "node", src: str
     bridges = written(bridges.groupBy("a", "b").agg(F.min("way").alias("way")), "bridges")
     trees = start.select("node", F.col("node").alias("tree"))
     chosen = None
-    for _ in range(40):
+    while True:  # every round at least halves the trees that a bridge can join
         of = lambda end: trees.select(F.col("node").alias(end), F.col("tree").alias(f"t{end}"))
         open_ = bridges.join(of("a"), "a").join(of("b"), "b").where("ta <> tb")
         least = (
@@ -62,7 +64,7 @@ def steiner(edges: DataFrame, terminals: DataFrame, node: str = "node", src: str
     tree = written(chosen.select("way.src", "way.dst").distinct(), "tree")
     at = tree.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     parents = reached.where("parent is not null").select("node", "parent")
-    for _ in range(most_waves):
+    while True:
         up = written(at.join(parents, "node").distinct(), "up")
         if up.isEmpty():
             break

@@ -11,57 +11,59 @@ from lattica.plans.graph_queries import _NODES, edges, nodes
 from lattica.sources.tables import table
 
 
-def papers(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe.keep_first(table(spark, folder, "papers"), ["paper_id"], [F.col("marker_processed").isNull(), ~F.col("marker_processed"), "processed_at", "title", "doi"])
+def papers(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The columns of each paper once, a processed run first."""
+    order = [F.col("marker_processed").isNull(), ~F.col("marker_processed"), "processed_at", "title", "doi"]
+    return dedupe.keep_first(table(spark, folder, "papers"), ["paper_id"], order, list(columns))
 
 
 def j01_papers_nodes(spark, folder):
     """Papers with the id of the node that has their DOI."""
-    ids = nodes(spark, folder).where("doi is not null").select(F.lower("doi").alias("d"), F.col("id").alias("node_id"))
-    return papers(spark, folder).select("paper_id", "doi").join(ids, F.lower("doi") == F.col("d"), "left").select("paper_id", "node_id")
+    ids = nodes(spark, folder, "id", "doi").where("doi is not null").select(F.lower("doi").alias("d"), F.col("id").alias("node_id"))
+    return papers(spark, folder, "paper_id", "doi").join(ids, F.lower("doi") == F.col("d"), "left").select("paper_id", "node_id")
 
 
 def j11_not_in_other_source(spark, folder):
     """Papers whose DOI, whatever its case, no node has; papers without a DOI stay."""
-    known = nodes(spark, folder).select(F.lower("doi").alias("d")).distinct()
-    return papers(spark, folder).join(known, F.lower("doi") == F.col("d"), "left_anti").select("paper_id", "doi")
+    known = nodes(spark, folder, "doi").select(F.lower("doi").alias("d")).distinct()
+    return papers(spark, folder, "paper_id", "doi").join(known, F.lower("doi") == F.col("d"), "left_anti").select("paper_id", "doi")
 
 
 def j12_precedence_union(spark, folder):
     """One list of DOIs and titles: the papers', and those nodes' that no paper has."""
-    first = papers(spark, folder).where("doi is not null").groupBy("doi").agg(F.min("title").alias("title"))
-    second = nodes(spark, folder).where("doi is not null").groupBy("doi").agg(F.min("title").alias("title"))
+    first = papers(spark, folder, "doi", "title").where("doi is not null").groupBy("doi").agg(F.min("title").alias("title"))
+    second = nodes(spark, folder, "doi", "title").where("doi is not null").groupBy("doi").agg(F.min("title").alias("title"))
     return lookups.precedence_union(first, second, ["doi"])
 
 
 def j20_updated(spark, folder):
     """Papers' DOIs filled from the depositors' records."""
     deposited = table(spark, folder, "crossref_metadata").groupBy("paper_id").agg(F.min("doi").alias("doi"))
-    return lookups.updated(papers(spark, folder).select("paper_id", "doi"), deposited, ["paper_id"], ["doi"], overwrite=False)
+    return lookups.updated(papers(spark, folder, "paper_id", "doi"), deposited, ["paper_id"], ["doi"], overwrite=False)
 
 
 def j27_both_directions(spark, folder):
     """Edges from papers of one field to another's nodes, and the other way round."""
-    side = lambda f: nodes(spark, folder).where(F.col("field") == f).select("id")
+    side = lambda f: nodes(spark, folder, "id", "field").where(F.col("field") == f).select("id")
     e = edges(spark, folder).select("source", "target").distinct()
     one = lambda a, b: e.join(side(a), e.source == F.col("id"), "left_semi").join(side(b), e.target == F.col("id"), "left_semi")
     return one("aiml", "neuroscience").withColumn("way", F.lit("out")).unionAll(one("neuroscience", "aiml").withColumn("way", F.lit("in")))
 
 
 def u08_processed_first(spark, folder):
-    return dedupe.processed_first(table(spark, folder, "papers"), "pdf_filename", "marker_processed", ["processed_at", "title", "doi"]).select("pdf_filename", "title", "doi")
+    return dedupe.processed_first(table(spark, folder, "papers"), "pdf_filename", "marker_processed", ["processed_at", "title", "doi"], ["pdf_filename", "title", "doi"]).select("pdf_filename", "title", "doi")
 
 
 def s03_section_text(spark, folder):
-    return papers(spark, folder).select("paper_id", corpus.section_text(F.col("sections")).alias("text"))
+    return papers(spark, folder, "paper_id", "sections").select("paper_id", corpus.section_text(F.col("sections")).alias("text"))
 
 
 def s16_paper_text(spark, folder):
-    return papers(spark, folder).select("paper_id", corpus.paper_text(F.col("title"), F.col("sections")).alias("text"))
+    return papers(spark, folder, "paper_id", "title", "sections").select("paper_id", corpus.paper_text(F.col("title"), F.col("sections")).alias("text"))
 
 
 def k21_template(spark, folder):
-    return corpus.template(nodes(spark, folder)).select("pdf_filename", "figures_folder", F.size("sections").alias("n_sections"))
+    return corpus.template(nodes(spark, folder, "id", "title", "doi", "abstract")).select("pdf_filename", "title", "doi", "figures_folder", F.get("sections", F.lit(0))["section_text"].alias("first_section"))
 
 
 def a24_counts(spark, folder):
@@ -79,7 +81,7 @@ def u10_ordinals(spark, folder):
 
 def o07_offsets(spark, folder):
     """How many nodes come before each field's."""
-    sizes = nodes(spark, folder).where("field is not null").groupBy("field").agg(F.count("*").alias("n"))
+    sizes = nodes(spark, folder, "field").where("field is not null").groupBy("field").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1))  # one row a field
     return sizes.select("field", "n", F.coalesce(before, F.lit(0)).alias("offset"))
 
@@ -105,7 +107,7 @@ def v04_label_cosine(spark, folder):
 
 
 def v05_unit(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", F.round(vector.norm(vector.unit(F.col("embedding"))), 6).alias("length"))
+    return table(spark, folder, "embeddings").select("vec_id", F.round(vector.norm(vector.unit(F.col("embedding"))), 6).alias("length"), F.transform(F.slice(vector.unit(F.col("embedding")), 1, 4), lambda x: F.round(x, 6)).alias("begins"))
 
 
 _SERVERS = "event_type"
@@ -185,19 +187,19 @@ QUERIES = {
     "j12_precedence_union": j12_precedence_union,
     "j20_updated": j20_updated,
     "j27_both_directions": j27_both_directions,
-    "u02_paper_dedupe": lambda s, d: papers(s, d).select("paper_id", "title", "doi"),
+    "u02_paper_dedupe": lambda s, d: papers(s, d, "paper_id", "title", "doi"),
     "u08_processed_first": u08_processed_first,
     "u10_ordinals": u10_ordinals,
     "s02_ordered_limit": lambda s, d: table(s, d, "kg_document").orderBy("document_id").limit(20).select("document_id", "title"),
     "s03_section_text": s03_section_text,
     "s05_range_slice": lambda s, d: corpus.range_slice(table(s, d, "kg_document"), "document_id", 10, 40).select("document_id"),
     "s16_paper_text": s16_paper_text,
-    "s27_download_commands": lambda s, d: corpus.download_commands(nodes(s, d)),
+    "s27_download_commands": lambda s, d: corpus.download_commands(nodes(s, d, "id", "pdf_url")),
     "k21_template": k21_template,
     "a23_date_range": lambda s, d: table(s, d, "citation_network_nodes").where("pub_date <> ''").agg(F.min("pub_date").alias("first"), F.max("pub_date").alias("last")),
     "a24_counts": a24_counts,
     "o07_offsets": o07_offsets,
-    "pr18_new_nodes": lambda s, d: nodes(s, d).select("id").join(F.broadcast(edges(s, d).agg(F.max(F.greatest("source", "target")).alias("m"))), F.col("id") > F.col("m")).select("id"),
+    "pr18_new_nodes": lambda s, d: nodes(s, d, "id").join(F.broadcast(edges(s, d).agg(F.max(F.greatest("source", "target")).alias("m"))), F.col("id") > F.col("m")).select("id"),
     "v03_knn_ip": knn("ip"),
     "v03_knn_l2": knn("l2"),
     "v04_label_cosine": v04_label_cosine,
@@ -239,7 +241,7 @@ ORACLE = {
     "s05_range_slice": "select document_id from kg_document order by document_id limit 30 offset 10",
     "s16_paper_text": f"select paper_id, array_to_string(list_filter(list_concat([nullif(trim(title, ' '), '')], flatten(list_transform(coalesce(sections, []), lambda s: [nullif(trim(s.heading, ' '), ''), nullif(trim(s.body, ' '), '')]))), lambda x: x is not null), chr(10) || chr(10)) as text from {_PAPERS}",
     "s27_download_commands": f"select id, 'wget -O ''' || id || '.pdf'' ''' || pdf_url || '''' command from {_NODES} where trim(pdf_url, ' ') <> '' and not contains(lower(pdf_url), 'unable') and not contains(lower(pdf_url), 'dropbox')",
-    "k21_template": f"select id || '.pdf' pdf_filename, 'figures/' || id figures_folder, case when trim(abstract, ' ') <> '' then 1 else 0 end n_sections from {_NODES}",
+    "k21_template": f"select id || '.pdf' pdf_filename, title, doi, 'figures/' || id figures_folder, case when trim(abstract, ' ') <> '' then abstract end first_section from {_NODES}",
     "a23_date_range": "select min(pub_date) \"first\", max(pub_date) \"last\" from citation_network_nodes where pub_date <> ''",
     "a24_counts": "select field, count(*) \"rows\", sum(coalesce(len(sections), 0))::bigint sections, count(error) errors, sum(figure_count)::bigint figures from papers group by 1",
     "o07_offsets": f"select field, n, coalesce(sum(n) over (order by field rows between unbounded preceding and 1 preceding), 0)::bigint \"offset\" from (select field, count(*) n from {_NODES} where field is not null group by 1)",
@@ -247,7 +249,7 @@ ORACLE = {
     "v03_knn_ip": _knn_sql("list_inner_product(q.e, v.e)"),
     "v03_knn_l2": _knn_sql("-power(list_distance(q.e, v.e), 2)", "abs(score)"),
     "v04_label_cosine": "with m as (select label, list(x order by pos) v from (select label, pos, avg(x) x from (select label, unnest(embedding::double[]) x, unnest(range(len(embedding))) pos from embeddings) group by 1, 2) group by 1) select a.label \"first\", b.label \"second\", round(list_cosine_similarity(a.v, b.v), 6) cosine from m a join m b on a.label < b.label",
-    "v05_unit": "select vec_id, case when list_inner_product(embedding::double[], embedding::double[]) > 0 then 1.0::double else 0.0::double end as length from embeddings",
+    "v05_unit": "select vec_id, case when list_inner_product(embedding::double[], embedding::double[]) > 0 then 1.0::double else 0.0::double end as length, list_transform(embedding[1:4], lambda x: round(x::double / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6)) begins from embeddings",
     "t14_log_events": f'''select event_id, case k when 0 then 'failed' when 1 then 'timeout' else 'extracted' end kind, case when k <> 1 then event_type end subject, case when k > 1 then triples end triples, case when k <> 1 then "seconds" end as "seconds" from {_LOG}''',
     "a16_rollup": f"select event_type subject, count(*) requests, count(*) filter (where k > 1) success, count(*) filter (where k = 0) failed, count(*) filter (where seconds > 60) over_limit, round(sum(seconds) filter (where k > 1), 2) total_s, round(avg(seconds) filter (where k > 1), 4) avg_s from {_LOG} where k <> 1 group by 1",
     "a15_time_buckets": f"select case when seconds * 10 < 60 then '<1m' when seconds * 10 < 300 then '1-5m' when seconds * 10 < 600 then '5-10m' when seconds * 10 < 3600 then '10-60m' else '>1h' end bucket, count(*) n from {_LOG} where k > 1 group by 1",

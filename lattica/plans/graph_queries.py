@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import match_key
 from lattica.operators import community, dedupe, graph, lookups, retrieval, steiner, triples
+from lattica.plans.text_queries import _ENTITY_WORD, _SPACES, _cleanup_sql
 from lattica.plans.text_queries import ORACLE as TEXT_ORACLE
+from lattica.session import written
 from lattica.sources.tables import table
 
 
@@ -19,9 +21,9 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "citation_network_edges")
 
 
-def nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each node once, as first added."""
-    return dedupe.keep_first(table(spark, folder, "citation_network_nodes"), ["id"], ["added_at", "title", "doi"])
+def nodes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The columns of each node once, as first added."""
+    return dedupe.keep_first(table(spark, folder, "citation_network_nodes"), ["id"], ["added_at", "title", "doi"], list(columns))
 
 
 def a03_duplicates(spark, folder):
@@ -29,12 +31,12 @@ def a03_duplicates(spark, folder):
 
 
 def u01_entity_dedupe(spark, folder):
-    return dedupe.keep_first(table(spark, folder, "entity"), [match_key(F.col("entity_name"))], ["created_at", "entity_id"]).select("entity_id", "entity_name")
+    return dedupe.keep_first(table(spark, folder, "entity"), [match_key(F.col("entity_name"))], ["created_at", "entity_id"], ["entity_id", "entity_name"])
 
 
 def u03_pred_dedupe(spark, folder):
     keys = [match_key(F.col(c)) for c in ("h", "r", "t")]
-    return dedupe.keep_first(facts(spark, folder), keys, ["predication_id"]).select("predication_id", "h", "r", "t")
+    return dedupe.keep_first(facts(spark, folder), keys, ["predication_id"], ["predication_id", "h", "r", "t"])
 
 
 def u11_simple_graph(spark, folder):
@@ -68,15 +70,23 @@ def ask(spark, folder, question: str = "How does synaptic plasticity shape worki
     terms = spark.createDataFrame([(w.lower().strip("?.,"),) for w in question.split() if len(w) > 6], "term string")
     names = facts(spark, folder).select(F.explode(F.array("h", "t")).alias("entity_name"))
     entries = retrieval.substring_entries(names, terms).select("entity_name")
-    return retrieval.ranked_triples(facts(spark, folder), entries, k)
+    return retrieval.ranked_triples(facts(spark, folder), entries, k, tie=("predication_id",))
 
 
 def c10_ask(spark, folder):
     return ask(spark, folder)[0].select("predication_id", "document_id", "depth", "h", "r", "t")
 
 
+def t16_prompt(spark, folder):
+    """The prompt for a question: its triples, their documents' titles and abstracts."""
+    found = written(c10_ask(spark, folder), "triples")
+    texts = table(spark, folder, "kg_document").select("document_id", "title", F.col("abstract").alias("text"))
+    question = F.lit("What shapes memory?")
+    return retrieval.context(found, texts, question, "Facts:\n{context}\n\nQuestion: {query}\nAnswer:", ["depth", "h", "r", "t", "predication_id"])
+
+
 def g17_reindex(spark, folder):
-    ids, moved = graph.reindexed(nodes(spark, folder).select("id"), edges(spark, folder).select("edge_id", "source", "target").distinct(), "id", "source", "target")
+    ids, moved = graph.reindexed(nodes(spark, folder, "id"), edges(spark, folder).select("edge_id", "source", "target").distinct(), "id", "source", "target")
     return moved.select("edge_id", "new_source", "new_target")
 
 
@@ -84,19 +94,19 @@ FIELD_ORDER = ["neuroscience", "neuromorphic", "aiml"]
 
 
 def g18_unify(spark, folder):
-    return graph.unified(nodes(spark, folder), FIELD_ORDER, "field", "id")
+    return graph.unified(nodes(spark, folder, "id", "field"), FIELD_ORDER, "field", "id")
 
 
 def g20_unified_edges(spark, folder):
     """Edges between unified nodes, by the unordered pair of their fields."""
-    ids = nodes(spark, folder).where("field is not null").select("id", "field")
+    ids = nodes(spark, folder, "id", "field").where("field is not null")
     of = lambda end, n: ids.select(F.col("id").alias(end), F.col("field").alias(n))
     clean = edges(spark, folder).select("source", "target").where("source <> target").distinct()
     return graph.pair_counts(clean.join(of("source", "f1"), "source").join(of("target", "f2"), "target"), F.col("f1"), F.col("f2"))
 
 
 def j08_internal_external(spark, folder):
-    ids = nodes(spark, folder).select(F.col("id").alias("target"), F.lit(1).alias("known"))
+    ids = nodes(spark, folder, "id").select(F.col("id").alias("target"), F.lit(1).alias("known"))
     return (
         edges(spark, folder).where("source is not null and target is not null").select("source", "target").distinct().join(ids, "target", "left")
         .groupBy("source").agg(F.count_if(F.col("known").isNotNull()).alias("internal"), F.count_if(F.col("known").isNull()).alias("external"))
@@ -105,24 +115,24 @@ def j08_internal_external(spark, folder):
 
 def a21_network_stats(spark, folder):
     clean = graph.without_loops(edges(spark, folder), "source", "target")
-    n = nodes(spark, folder).agg(F.count("*").alias("nodes"))
+    n = nodes(spark, folder, "id").agg(F.count("*").alias("nodes"))
     return n.crossJoin(F.broadcast(clean.agg(F.count("*").alias("edges")))).select("nodes", "edges", (2 * F.col("edges") / F.col("nodes")).alias("avg_degree"))
 
 
 def g14_isolates(spark, folder):
-    return nodes(spark, folder).select(F.col("id").alias("node")).join(graph.degrees(edges(spark, folder), "source", "target"), "node", "left_anti")
+    return nodes(spark, folder, "id").select(F.col("id").alias("node")).join(graph.degrees(edges(spark, folder), "source", "target"), "node", "left_anti")
 
 
 def g11_expansion(spark, folder):
     """Two hops from the nodes whose DOI a paper has."""
     dois = table(spark, folder, "papers").select(F.lower("doi").alias("d")).where("d is not null").distinct()
-    seeds = nodes(spark, folder).join(dois, F.lower("doi") == F.col("d"), "left_semi").select(F.col("id").alias("node"))
+    seeds = nodes(spark, folder, "id", "doi").join(dois, F.lower("doi") == F.col("d"), "left_semi").select(F.col("id").alias("node"))
     return graph.expansion_events(edges(spark, folder), seeds, 2, "node", "source", "target")
 
 
 def j05_event_edges(spark, folder):
     """Citation events by DOI, resolved to nodes again."""
-    n = nodes(spark, folder).where("doi is not null").select("id", "doi")
+    n = nodes(spark, folder, "id", "doi").where("doi is not null")
     of = lambda end, name: n.select(F.col("id").alias(end), F.col("doi").alias(name))
     events = edges(spark, folder).join(of("source", "citing_doi"), "source").join(of("target", "cited_doi"), "target").select("citing_doi", "cited_doi")
     return lookups.resolved_edges(events, n, "citing_doi", "cited_doi", "doi", "id")
@@ -130,7 +140,7 @@ def j05_event_edges(spark, folder):
 
 def membership(spark, folder):
     """A labelling that the tables hold: the category of each node, as a number."""
-    n = nodes(spark, folder).where("category is not null")
+    n = nodes(spark, folder, "id", "category").where("category is not null")
     return n.select(F.col("id").alias("node"), F.xxhash64("category").alias("community"), "category")
 
 
@@ -139,11 +149,19 @@ def _clean_edges(spark, folder):
 
 
 def g03_louvain(spark, folder):
-    return community.communities(_clean_edges(spark, folder))
+    return community.communities(_clean_edges(spark, folder), refine=False)
+
+
+GAMMA = 0.01
 
 
 def g06_leiden_cpm(spark, folder):
-    return community.communities(_clean_edges(spark, folder), gamma=0.01)
+    """Parallel edges are kept."""
+    return community.communities(edges(spark, folder), gamma=GAMMA, src="source", dst="target")
+
+
+def g07_leiden_modularity(spark, folder):
+    return community.communities(_clean_edges(spark, folder))
 
 
 def g03_modularity_of_labels(spark, folder):
@@ -180,7 +198,7 @@ def g08_components(spark, folder):
 
 
 def j10_induced(spark, folder):
-    part = nodes(spark, folder).where("field = 'aiml'").select(F.col("id").alias("node"))
+    part = nodes(spark, folder, "id", "field").where("field = 'aiml'").select(F.col("id").alias("node"))
     return graph.induced(edges(spark, folder).select("source", "target").distinct(), part, "node", "source", "target")
 
 
@@ -212,6 +230,7 @@ QUERIES = {
     "g16_top_subgraph": lambda s, d: graph.induced(facts(s, d).select("h", "t").distinct(), triples.entity_frequency(facts(s, d)).orderBy(F.desc("n"), "entity").limit(50).select(F.col("entity").alias("node")), "node", "h", "t"),
     "g23_bfs_triples": g23_bfs_triples,
     "c10_ask": c10_ask,
+    "t16_prompt": t16_prompt,
     "x03_intersect": lambda s, d: facts(s, d).select(F.col("h").alias("entity")).intersect(facts(s, d).select(F.col("t").alias("entity"))),
     "x04_except": lambda s, d: facts(s, d).select(F.col("h").alias("entity")).subtract(facts(s, d).select(F.col("t").alias("entity"))),
     "u05_edge_clean": lambda s, d: graph.without_loops(edges(s, d), "source", "target"),
@@ -232,6 +251,7 @@ QUERIES = {
     "g20_unified_edges": g20_unified_edges,
     "g03_louvain": g03_louvain,
     "g06_leiden_cpm": g06_leiden_cpm,
+    "g07_leiden_modularity": g07_leiden_modularity,
     "g03_modularity_of_labels": g03_modularity_of_labels,
     "a05_largest_community": a05_largest_community,
     "g04_min_cluster": g04_min_cluster,
@@ -258,7 +278,35 @@ _COMPONENTS = f"""with recursive e as (select s, t from {_PAIRS} union select t,
     select x, c from walk"""
 _SIMPLE_KEY = "coalesce(strftime(extracted_at, '%Y%m%d%H%M%S'), '0') || predication_id"
 _ONTO = "select distinct translate(subject_entity_name, ' -', '__') subject, translate(predicate, ' -', '__') property, translate(object_entity_name, ' -', '__') object from predication where translate(predicate, ' -', '__') not in ('is_a','namespace','storid','name','save') and trim(subject_entity_name, ' ') <> '' and trim(predicate, ' ') <> '' and trim(object_entity_name, ' ') <> ''"
+_ENTITY = lambda c: f"case when trim({c}) = '' then {c} else array_to_string(list_transform(list_filter(regexp_split_to_array(trim({c}), '{_SPACES}'), lambda w: w <> ''), lambda w: {_ENTITY_WORD.replace(_EXCLUDED, '')}), ' ') end"
+_EXCLUDED = "when lower(w) in ('cmos', 'mos') then lower(w) "
+_RELATION = TEXT_ORACLE["f03_relation_norm"].split("select predication_id, ")[1].split(" as value from")[0]
+_XML = lambda c: f"""replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')"""
+_IRI = "http://example.org/kg"
+_OWL = f"""with f as ({_ONTO}) select '<owl:ObjectProperty rdf:about="{_IRI}#' || {_XML('property')} || '"/>' line from (select distinct property from f)
+    union all select '<owl:NamedIndividual rdf:about="{_IRI}#' || {_XML('x')} || '"><rdf:type rdf:resource="{_IRI}#Entity"/></owl:NamedIndividual>' from (select subject x from f union select object from f)
+    union all select '<rdf:Description rdf:about="{_IRI}#' || {_XML('subject')} || '"><p:' || regexp_replace(property, '[^\\w.-]', '_', 'g') || ' rdf:resource="{_IRI}#' || {_XML('object')} || '"/></rdf:Description>' from f"""
+_ASK = """with f as (select predication_id, coalesce(document_id, '') document_id, subject_entity_name h, predicate r, object_entity_name t from predication),
+    e as (select distinct x from (select h x from f union select t from f) where contains(lower(x), 'synaptic') or contains(lower(x), 'plasticity') or contains(lower(x), 'working') or contains(lower(x), 'memory')),
+    d as (select distinct t x from f where h in (from e) and t is not null and t not in (from e)),
+    n as (select *, case when h in (from e) then 0 else 1 end depth from f where h in (from e) or h in (from d)),
+    top as (select document_id, count(*) k from n group by 1 order by 2 desc, encode(document_id) limit 5)
+    select predication_id, document_id, depth, h, r, t from n join top using (document_id) order by k desc, encode(document_id), depth, encode(h), encode(r) nulls first, encode(t) nulls first, encode(predication_id) limit 20"""
+_PROMPT = f"""with a as ({_ASK}), b as (select * from a order by depth, encode(h), encode(r) nulls first, encode(t) nulls first, encode(predication_id) limit 10),
+    g as (select document_id, count(*) k from b group by 1 order by 2 desc, encode(document_id) limit 5),
+    x as (select string_agg(coalesce(h, 'null') || ' | ' || coalesce(r, 'null') || ' | ' || coalesce(t, 'null'), chr(10) order by depth, encode(h), encode(r) nulls first, encode(t) nulls first, encode(predication_id)) v from b),
+    y as (select string_agg(concat_ws(chr(10), title, abstract), chr(10) || chr(10) order by k desc, encode(document_id)) v from kg_document join g using (document_id))
+    select 'Facts:' || chr(10) || concat_ws(chr(10) || chr(10), nullif(x.v, ''), nullif(y.v, '')) || chr(10) || chr(10) || 'Question: What shapes memory?' || chr(10) || 'Answer:' prompt from x, y"""
 ORACLE = {
+    "f04_normalised": f"select r, count(*) n, count(distinct h) heads, count(distinct t) tails from (select {_RELATION} r, {_ENTITY('subject_entity_name')} h, {_ENTITY('object_entity_name')} t from predication) group by 1",
+    "f07_cleaned": "select changed, count(*) n from (select " + " + ".join(f"({_cleanup_sql(c)} is distinct from {c})::int" for c in ("subject_entity_name", "predicate", "object_entity_name")) + " changed from predication) group by 1",
+    "g12_owl_lines": _OWL,
+    "g13_integrity": """select 'blank_entity' check_name, (select count(*) from entity where trim(entity_name, ' ') = '') problems
+        union all select 'unknown_end', (select count(*) from (select subject_entity_name x from predication union all select object_entity_name from predication) where x is not null and x not in (select entity_name from entity where entity_name is not null))
+        union all select 'reserved_property', (select count(*) from predication where translate(predicate, ' -', '__') in ('is_a', 'namespace', 'storid', 'name', 'save'))
+        union all select 'self_loop', (select count(*) from predication where subject_entity_name = object_entity_name)""",
+    "c10_ask": _ASK,
+    "t16_prompt": _PROMPT,
     "k04_triple_projection": "select subject_entity_name h, predicate r, object_entity_name t, document_id, model_name model, predication_id from predication",
     "a03_duplicates": f"select h, r, t, frequency::bigint frequency from (select subject_entity_name h, predicate r, object_entity_name t, count(*) over (partition by a, b, c) frequency from {_KEYED}) where frequency > 1 group by all",
     "u01_entity_dedupe": f"select entity_id, entity_name from entity qualify row_number() over (partition by {_key('entity_name')} order by created_at, entity_id) = 1",

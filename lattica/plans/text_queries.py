@@ -57,13 +57,20 @@ def t05_strict_triples(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("predication_id", "h", "r", "t")
 
 
+def t05_json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts as JSON lines with all that their texts hold, quotes and braces too: an exact round trip of what is not blank."""
+    p = table(spark, folder, "predication")
+    line = F.to_json(F.struct(F.col("subject_entity_name").alias("h"), F.col("predicate").alias("r"), F.col("object_entity_name").alias("t")))
+    return p.select("predication_id", F.inline(parse.strict_triples(line)))
+
+
 def t08_regeneration(spark: SparkSession, folder: str) -> DataFrame:
     """How many document texts, taken as responses, would call for another try."""
     return table(spark, folder, "documents").select("doc_id", parse.needs_another_try(F.col("text")).alias("retry"))
 
 
 def t10_sections(spark: SparkSession, folder: str) -> DataFrame:
-    return parse.sections(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id").drop("body")
+    return parse.sections(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def t11_first_heading(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,6 +135,7 @@ QUERIES = {
     "t02_json_cleaned": lambda s, d: _responses(s, d).select("predication_id", parse.json_cleaned(F.col("response")).alias("value")),
     "t03_json_slice": lambda s, d: _responses(s, d).select("predication_id", parse.json_slice(F.col("response")).alias("value")),
     "t05_strict_triples": t05_strict_triples,
+    "t05_json_lines": t05_json_lines,
     "t08_regeneration": t08_regeneration,
     "t10_sections": t10_sections,
     "t11_first_heading": t11_first_heading,
@@ -153,7 +161,37 @@ def _cleanup_sql(column: str) -> str:
 
 _DOC_LINES = r"""(select doc_id, i, l, case when regexp_matches(l, '^\s*#{2,}(\s|$)') then length(regexp_extract(l, '^\s*(#{2,})', 1)) else 0 end as lvl
     from (select doc_id, unnest(ls) l, unnest(range(len(ls))) i from (select doc_id, regexp_split_to_array(text, '\r?\n') ls from documents where text is not null)))"""
+_FORM = "cast(right(predication_id, 1) as int) % 5"
+
+
+def _forms(gap: str) -> tuple[str, str, str]:
+    """The JSON in a response of each form; ``gap``: what stands after commas."""
+    plain = f"""'{{"h": "' || h || '",{gap}"r": "' || r || '",{gap}"t": "' || t || '"}}'"""
+    other = f"""'{{"subject": "' || h || '",{gap}"predicate": "' || r || '",{gap}"object": "' || t || '"}}'"""
+    mixed = f"""'{{"t": "' || t || '",{gap}"h": "' || h || '",{gap}"r": "' || r || '"}}'"""
+    return plain, other, mixed
+
+
+def _cleaned_sql() -> str:
+    plain, other, mixed = _forms("")
+    fenced = f"'```json' || chr(10) || {plain} || chr(10) || '```'"
+    return f"select predication_id, case {_FORM} when 1 then {fenced} when 3 then {other} when 4 then 'Here is the triple:' || chr(10) || {mixed} || chr(10) || 'Done.' else {plain} end as value from {_RESPONSE_SQL}"
+
+
+def _slice_sql() -> str:
+    plain, other, mixed = _forms(" ")
+    single = plain.replace("'", "\x00").replace('"', "''").replace("\x00", "'")
+    return f"select predication_id, case {_FORM} when 2 then {single} when 3 then {other} when 4 then {mixed} else {plain} end as value from {_RESPONSE_SQL}"
+
+
 ORACLE = {
+    "t02_json_cleaned": _cleaned_sql(),
+    "t03_json_slice": _slice_sql(),
+    "t05_json_lines": "select predication_id, subject_entity_name h, predicate r, object_entity_name t from predication where trim(subject_entity_name, ' ') <> '' and trim(predicate, ' ') <> '' and trim(object_entity_name, ' ') <> ''",
+    "t10_sections": rf"""with s as (select *, sum((lvl > 0)::int) over (partition by doc_id order by i) n from {_DOC_LINES})
+        select doc_id, n::int section_no, max(lvl)::int "level", max(case when lvl > 0 then trim(regexp_replace(l, '^\s*#+', ''), ' ') end) heading,
+            coalesce(trim(string_agg(l, chr(10) order by i) filter (where lvl = 0), ' ' || chr(10)), '') body from s where n > 0 group by doc_id, n
+        union all select doc_id, 1, 1, 'Full Text', trim(text, ' ' || chr(10)) from documents where text is not null and doc_id not in (select doc_id from s where lvl > 0)""",
     "f01_match_key": r"select entity_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace(replace(entity_name, '…', '...'), '[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g')), '[^\x00-\x7F]', '', 'g')), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) as value from entity",
     "f02_entity_norm": f"select entity_id, case when trim(entity_name) = '' then entity_name else array_to_string(list_transform(list_filter(regexp_split_to_array(trim(entity_name), '{_SPACES}'), lambda w: w <> ''), lambda w: {_ENTITY_WORD}), ' ') end as value from entity",
     "f03_relation_norm": rf"select predication_id, case when predicate = '' then predicate else trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(lower(trim(predicate)), '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1680}}\x{{85}}\-]+', '_', 'g'), '_'), lambda p: {_VERB}), '_'), '_+', '_', 'g'), '_') end as value from predication",
@@ -175,7 +213,7 @@ ORACLE = {
     "f25_keywords": r"select document_id, array_to_string(list_filter(regexp_split_to_array(trim(title), '\s+'), lambda w: length(w) >= 4), '|') as value from kg_document",
     "f26_as_int": "select id, coalesce(cast(trunc(try_cast(pub_date as double)) as int), 0) as value from citation_network_nodes",
     "t01_response_triples": f"select predication_id, h, r, t from {_RESPONSE_SQL}",
-    "t05_strict_triples": f"select predication_id, h, r, t from {_RESPONSE_SQL} where cast(right(predication_id, 1) as int) % 5 in (0, 1)",
+    "t05_strict_triples": f"select predication_id, h, r, t from {_RESPONSE_SQL} where cast(right(predication_id, 1) as int) % 5 in (0, 1, 4)",
     "t08_regeneration": rf"select doc_id, case when text is null or text = '' then true when "
     + " or ".join(f"contains(lower(text), '{p}')" for p in parse.NO_TRIPLES)
     + """ then false when length(text) < 50 then false when contains(text, '"h"') or contains(text, '"subject"') then false else true end as retry from (select doc_id, regexp_replace(text, '^"""

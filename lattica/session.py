@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +27,10 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is (tests, one machine)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``: all executors must see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir, a folder that all executors share, before the session starts")
     return folder.rstrip("/")
 
 
@@ -41,21 +39,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lattica-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors.
+    ``replaces``: a frame that this function made and that nothing reads any more; its files are deleted afterwards."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a frame made by :func:`written` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lattica-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if replaces is not None:
+        drop_written(replaces)
+    return out
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes the files behind frames made by :func:`written` that nothing reads any more; other frames stay."""
+    for df in frames:
+        where = getattr(df, "_written_at", None)
+        if where:
+            jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+            path = jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)

@@ -16,18 +16,19 @@ def track(
 ) -> tuple[StreamingQuery, OrphanTracker]:
     """Runs the tracker over ``events``: rows with ``kind`` ('reference', 'span' or 'removal') and the columns of all.
 
-    ``report`` gets the current orphans after each micro-batch. The state is the tracker's written tables; a restarted
-    query begins with its first batch, so pass a source that can be read again.
+    ``report`` gets the current orphans after each micro-batch. The state lives beside the query's checkpoint and keeps
+    the number of its last batch: a restarted query goes on from there, and a batch that is brought again is taken once.
     """
-    state = OrphanTracker(spark)
+    state = OrphanTracker(spark, f"{checkpoint}/orphans")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         refs = df.where("kind = 'reference'").select("space", "key", "table_name", "ref_field", "row_key", "at")
         spans = df.where("kind = 'span'").select("space", "key", "live_from", "live_until")
         removed = df.where("kind = 'removal'").select("space", "key", "live_until")
-        state.ingest(refs, spans, None if removed.isEmpty() else removed)
+        state.ingest(refs, spans, None if removed.isEmpty() else removed, batch_id)
         if report:
             report(state.found(), batch_id)
+        state.prune()
 
     query = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return query, state

@@ -80,6 +80,31 @@ def test_removal_in_a_later_batch(spark, collect):
         assert (open_at(9), open_at(32), open_at(75)) == (0, 4, 0)
 
 
+def test_end_of_a_span_in_a_later_batch(spark, collect):
+    """A span that comes again with its end closes the open one; any order of arrivals equals brute force."""
+    df = spark.createDataFrame
+    refs = [("s", "a", "t", "f", str(n), at(n)) for n in (2, 10)]
+    steps = [(refs, []), ([], [("s", "a", at(1), None)]), ([], [("s", "a", at(1), at(5))])]
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0), (1, 0, 2)):
+        state = OrphanTracker(spark)
+        for i in order:
+            state.ingest(df(steps[i][0], REFERENCES), df(steps[i][1], SPANS))
+        assert collect(state.found()) == [("t", "f", "10", "2024-01")]
+        assert [r.open_refs for r in state.snapshot(F.lit(at(10)).cast("timestamp_ntz")).collect()] == [2]
+
+
+def test_restarted_tracker(spark, collect, tmp_path):
+    """A tracker opened on the folder of another goes on; a batch brought again is taken once."""
+    refs, live = case(5, 80)
+    df, folder = spark.createDataFrame, str(tmp_path / "state")
+    OrphanTracker(spark, folder).ingest(df(refs[:50], REFERENCES), df(live[:20], SPANS), batch=0)
+    state = OrphanTracker(spark, folder).ingest(df(refs[:50], REFERENCES), df(live[:20], SPANS), batch=0)
+    state.ingest(df(refs[50:], REFERENCES), df(live[20:], SPANS), batch=1)
+    state.prune()
+    assert collect(OrphanTracker(spark, folder).found()) == collect(state.found()) == brute(refs, live)
+    assert sum(r.refs for r in state.snapshot(F.lit(at(999)).cast("timestamp_ntz")).collect()) == len(refs)
+
+
 def test_unpivot_keys_and_clashing_columns(spark, collect):
     df = spark.createDataFrame([("r1", " K ", None, at(1), "x"), ("r1", " K ", None, at(1), "x"), ("r2", "", "\u00a0", at(1), "x"), (None, "m", "k", None, "x")], "id string, a string, b string, ts timestamp_ntz, space string")
     refs = references(df, "s", "t", "id", "ts", ["a", "b"])
