@@ -10,8 +10,10 @@ dropped second name). The steps, each on distinct spellings with counts, not on
 3. Family names: within a place, spellings that share a deletion key (one typing error apart) go to the likelier one.
 4. Given names: within place and family name, initials, nicknames and errors go to their likeliest full form.
    Nicknames are learned: pairs of first names that stand for one another under several family names and places.
-5. Mentions without usable context go to the only entity of that name, if there is exactly one.
-6. Equal ORCIDs join entities. Organisations are compared as sets of words after each word went to its likeliest
+5. Mentions without a place go to the entity of maximum posterior among those of their paper's places and those of that
+   name anywhere: its share of all mentions of the name is the prior, what the spelling lacks or changes the likelihood,
+   and a place of the paper's other authors counts as evidence. An entity that holds less than half of a name is not taken.
+6. Equal ORCIDs join entities, however long their chain. Organisations are compared as sets of words after each word went to its likeliest
    canonical word; abbreviations with a full stop go to the most frequent word that they begin.
 
 Candidate pairs arise only from a shared key of a place and a deletion or initial, among distinct spellings; a name held
@@ -38,15 +40,17 @@ ORG_WORDS = (
 TITLES = ("dr", "prof", "mr", "mrs", "ms", "phd", "md", "jr", "sr", "ii", "iii")
 #: Small words before a family name that are often left out.
 PARTICLES = ("van", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "von", "zu", "zur", "ter", "ten", "bin", "al", "el", "af", "av")
-#: Words of an affiliation that name no place.
-PLACELESS = (
-    "university", "univ", "institute", "inst", "technology", "tech", "of", "the", "dept", "department", "group", "school", "faculty",
-    "college", "laboratory", "lab", "centre", "center", "for", "and",
-)
+#: Words of an affiliation that name no place, whatever the data; others are learned (:func:`placeless_words`).
+PLACELESS = ("university", "univ", "institute", "inst", "technology", "tech", "dept", "department", "of", "the", "for", "and")
+#: A word is placeless if it stands in this share of the distinct affiliations, and in so many; so the list is bounded.
+PLACELESS_SHARE, PLACELESS_LEAST = 0.04, 40
 #: Log likelihoods of the changes.
 TYPO, INITIAL, NICKNAME, DROPPED, UNLIKE = -3.0, -1.0, -1.5, -0.7, -9.0
-#: A nickname must stand for its name in so many (place, family name) groups; groups of more first names teach nothing.
+#: A nickname must stand for its name in so many (place, family name) groups, in one of them among few first names only:
+#: in groups of many names, most pairs stand together by chance.
 NICKNAME_GROUPS, NICKNAME_NAMES = 2, 6
+#: Log odds of a place that the paper's other authors name, and the share of a name's mentions that an entity must hold.
+NEARBY, LEAST_SHARE = 6.0, 0.5
 
 
 def _accents() -> tuple[str, str]:
@@ -59,8 +63,9 @@ def plain(value: Column) -> Column:
     """Lower case without accents."""
     source, target = _accents()
     marks = "".join(map(chr, range(0x300, 0x370)))
-    value = F.translate(F.translate(value, source, target), marks, "")
-    return F.lower(F.replace(F.replace(value, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")))
+    folded = F.translate(F.translate(value, source, target), marks, "")
+    folded = F.replace(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae"))
+    return F.lower(F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value))  # most values are plain already
 
 
 def _words(value: Column) -> Column:
@@ -97,20 +102,27 @@ def _family_cost(a: Column, b: Column) -> Column:
     return F.when(_near(a, b), TYPO * F.levenshtein(a, b)).otherwise(DROPPED)
 
 
-def place_of(affiliation: Column) -> Column:
-    """The last word of an affiliation that can name a place."""
-    words = F.regexp_extract_all(plain(affiliation), F.lit(r"\p{L}+"), F.lit(0))
-    # "University of X", "X Institute of Technology", "Dept. of Y, X Institute of Technology", "Y Group, X"
-    last = F.element_at(F.split(plain(affiliation), ","), -1)
-    named = F.filter(F.regexp_extract_all(last, F.lit(r"\p{L}+"), F.lit(0)), lambda w: ~w.isin(*PLACELESS))
-    return F.when(F.size(words) > 0, F.array_join(named, " "))
+def placeless_words(df: DataFrame) -> list[str]:
+    """Words that stand in many distinct affiliations, as only words for kinds of institutions do."""
+    distinct = df.select(plain(F.col("affiliation")).alias("a")).where("a <> ''").distinct()
+    words = distinct.select("a", F.explode(F.array_distinct(F.regexp_extract_all("a", F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= PLACELESS_LEAST)
+    total = distinct.count()
+    return [r.w for r in counts.where(F.col("n") >= PLACELESS_SHARE * total).collect()]
+
+
+def place_of(affiliation: Column, placeless: tuple[str, ...] = PLACELESS) -> Column:
+    """What names a place in the last part of an affiliation."""
+    words = F.regexp_extract_all(F.substring_index(plain(affiliation), ",", -1), F.lit(r"\p{L}+"), F.lit(0))
+    place = F.array_join(F.filter(words, lambda w: ~w.isin(*placeless)), " ")
+    return F.when(place != "", place)
 
 
-def parsed(df: DataFrame) -> DataFrame:
+def parsed(df: DataFrame, placeless: tuple[str, ...] = PLACELESS) -> DataFrame:
     """mention_id, paper_id, orcid, place, is_org, words (of an organisation), given (words), family (last word)."""
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
     df = df.where(F.col("mention_id").isNotNull()).select(
-        "mention_id", "paper_id", blank("orcid").alias("orcid"), place_of(blank("affiliation")).alias("place"),
+        "mention_id", "paper_id", blank("orcid").alias("orcid"), place_of(blank("affiliation"), placeless).alias("place"),
         blank("given").alias("g"), blank("family").alias("f"), blank("full_name").alias("n"),
     )
     alone = F.col("f").isNull() & F.col("g").isNull()
@@ -129,7 +141,7 @@ def parsed(df: DataFrame) -> DataFrame:
         )
         .withColumn("family_words", F.coalesce("family_words", F.array_except(full, F.col("given_words")), F.array().cast("array<string>")))
         .withColumn("given_words", F.coalesce("given_words", F.array().cast("array<string>")))
-        .select("mention_id", "paper_id", "orcid", F.when(F.col("place") != "", F.col("place")).alias("place"), "is_org", F.col("n").alias("full_name"), "given_words", "family_words")
+        .select("mention_id", "paper_id", "orcid", "place", "is_org", F.col("n").alias("full_name"), "given_words", "family_words")
     )
 
 
@@ -172,15 +184,19 @@ def _near(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= 2
 
 
-def _roots(links: DataFrame, keys: list[str], steps: int = 3) -> DataFrame:
-    """Follows each spelling's link to the likelier one up to its end; links lead to likelier spellings only, so there
-    are no circles, and their chains are a few errors long."""
+def _roots(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Follows each spelling's link to the likelier one up to its end; links lead to likelier spellings only, so there are
+    no circles, and every round doubles the way gone."""
     targets = [f"to_{k}" for k in keys]
-    for _ in range(steps):
-        nxt = links.select(*[F.col(k).alias(f"to_{k}") for k in keys], *[F.col(f"to_{k}").alias(f"next_{k}") for k in keys])
-        links = links.join(nxt, targets, "left").select(*keys, *[F.coalesce(f"next_{k}", f"to_{k}").alias(f"to_{k}") for k in keys])
-        links = written(links, "roots")
-    return links
+    links = written(links, "roots")
+    while True:
+        nxt = links.select(*[F.col(k).alias(f"to_{k}") for k in keys], *[F.col(f"to_{k}").alias(f"next_{k}") for k in keys], F.lit(True).alias("on"))
+        step = links.join(nxt, targets, "left").select(*keys, *[F.coalesce(f"next_{k}", f"to_{k}").alias(f"to_{k}") for k in keys], "on")
+        step = written(step, "roots", replaces=links)
+        links = step.drop("on")
+        links._written_at = step._written_at
+        if step.where("on").isEmpty():
+            return links
 
 
 def family_links(forms: DataFrame) -> DataFrame:
@@ -201,14 +217,13 @@ def family_links(forms: DataFrame) -> DataFrame:
 
 def nicknames(forms: DataFrame) -> DataFrame:
     """g1 -> full: first names that stand for one another under several names and places. ``forms``: place, s, g1, n."""
-    groups = (
-        forms.where(F.length("g1") > 2)
-        .groupBy("place", "s")
-        .agg(F.collect_set("g1").alias("names"))
-        .where(F.size("names").between(2, NICKNAME_NAMES))
-    )
-    pairs = groups.select(F.explode("names").alias("g1"), "names").select("g1", F.explode("names").alias("full")).where("g1 <> full")
-    pairs = pairs.where(F.levenshtein("g1", "full") > 1).groupBy("g1", "full").agg(F.count("*").alias("n"))
+    names = forms.where(F.length("g1") > 2).select("place", "s", "g1").distinct()
+    sizes = names.groupBy("place", "s").agg(F.count("*").alias("size")).where("size > 1")
+    names = written(names.join(sizes, ["place", "s"]), "first-names")
+    few = names.where(F.col("size") <= NICKNAME_NAMES)
+    known = few.join(few.select("place", "s", F.col("g1").alias("full")), ["place", "s"]).where("g1 <> full").where(F.levenshtein("g1", "full") > 1).select("g1", "full").distinct()
+    # every group counts for the pairs that a small one shows, so a hot group is asked for known pairs, not for all
+    pairs = names.join(known, "g1").join(names.select("place", "s", F.col("g1").alias("full")), ["place", "s", "full"]).groupBy("g1", "full").agg(F.count("*").alias("n"))
     return pairs.where(F.col("n") >= NICKNAME_GROUPS).select("g1", "full")
 
 
@@ -294,24 +309,29 @@ def _org_entities(orgs: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(entities: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """The entity of a name that only one has."""
-    return (
-        entities.groupBy(*keys)
-        .agg(F.min("entity").alias(name), F.max("entity").alias("other"))
-        .where(F.col(name) == F.col("other"))
-        .drop("other")
-    )
+def _name_keys(g1: Column, g2: Column, forms: Column, s: Column, free: Column | None = None) -> Column:
+    """``key, cost``: the looks of a name under which an entity is looked up, with the log likelihood of what each leaves
+    out: the whole name, without second names, a near family name (``forms``: its deletion keys), the initial alone. Of an
+    entity's name (without ``free``) all of them; of a mention's those that it may use."""
+    full = F.length(g1) > 2
+    look = lambda mark, *parts: F.xxhash64(F.lit(mark), *parts)
+    initial = F.struct(look("i", s, F.substring(g1, 1, 1)).alias("key"), F.when(full, TYPO - 1).otherwise(INITIAL).alias("cost"))
+    near = F.transform(forms, lambda k: F.struct(look("n", k, g1).alias("key"), F.lit(TYPO).alias("cost")))
+    one = lambda key, cost: F.array(F.struct(key.alias("key"), F.lit(cost).alias("cost")))
+    none = F.array().cast("array<struct<key:bigint,cost:double>>")
+    return F.concat(
+        one(look("w", s, g1, g2), 0.0), one(look("g", s, g1), DROPPED), F.when(full, near).otherwise(none),
+        F.array(initial) if free is None else F.when(free, F.array(initial)).otherwise(none),
+    )
 
 
 def entities(df: DataFrame) -> DataFrame:
     """``mention_id, entity``: equal entities name the same person or organisation."""
-    rows = written(parsed(df), "parsed")
+    rows = written(parsed(df, tuple({*PLACELESS, *placeless_words(df)})), "parsed")
     orgs = _org_entities(rows.where("is_org"))
     people = written(_in_order(rows.where(~F.col("is_org"))).where("s <> '' or g1 <> ''"), "people")
 
     # context: the mention's own place, else those of its paper
-    paper_places = people.where("place is not null").select("paper_id", F.col("place").alias("near")).distinct()
     placed = people.where("place is not null")
     forms = written(placed.groupBy("place", "s", "g1", "g2").agg(F.count("*").alias("n")), "forms")
     families = family_links(forms)
@@ -327,61 +347,66 @@ def entities(df: DataFrame) -> DataFrame:
         "resolved",
     )
     first = placed.join(resolved.select("place", F.col("typed").alias("s"), "g1", "g2", "entity"), ["place", "s", "g1", "g2"]).select("mention_id", "orcid", "entity")
+    loose = written(people.where("place is null").select("mention_id", "paper_id", "orcid", "s", "g1", "g2", F.col("orcid").isNull().alias("free")), "loose")
+    at_places, anywhere = _near_entities(people, loose, resolved), _known_entities(loose, resolved)
+    best = at_places.unionByName(anywhere).groupBy("mention_id").agg(F.max_by("entity", F.struct("score", "entity")).alias("entity"))
+    rest = loose.join(best, "mention_id", "left").select(
+        "mention_id", "orcid", F.coalesce("entity", F.concat_ws("|", F.lit("person"), F.lit(""), "s", "g1", "g2")).alias("entity")
+    )
+    assigned = written(first.unionByName(rest), "assigned")
+    return _joined_by_orcid(assigned).unionByName(orgs)
 
-    # without an own place: names at the paper's places, then names that only one entity has
-    loose = people.where("place is null").select("mention_id", "paper_id", "orcid", "s", "g1", "g2")
-    named = resolved.select("place", F.col("s").alias("canon"), "typed", "g1", "entity", "n")
+
+def _near_entities(people: DataFrame, loose: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``mention_id, entity, score``: the best entities at the places of the paper, found for each distinct name and place."""
+    near = people.where("place is not null").select("paper_id", "place").distinct()
+    asked = written(loose.select("mention_id", "paper_id", "s", "g1").join(near, "paper_id").select("mention_id", "place", "s", "g1"), "asked")
+    units = resolved.groupBy("place", "typed", "g1", "entity").agg(F.sum("n").alias("n")).withColumn("key", F.explode(family_keys(F.col("typed"))))
+    a, c = asked.select("place", "s", "g1").distinct().withColumn("key", F.explode(family_keys(F.col("s")))).alias("a"), units.alias("c")
     letters = lambda c: F.substring(c, 1, 1)
-    keys = named.groupBy("place", "typed", "g1", "entity").agg(F.sum("n").alias("n")).withColumn("key", F.explode(family_keys(F.col("typed"))))
-    asked = loose.join(paper_places, "paper_id").select("mention_id", "s", "g1", F.col("near").alias("place"), F.explode(family_keys(F.col("s"))).alias("key"))
-    a, c = asked.alias("a"), keys.alias("c")
     alike = (
         F.when(F.col("a.g1") == F.col("c.g1"), 0.0)
         .when(F.col("a.g1") == "", DROPPED)
         .when(((F.length("a.g1") <= 2) | (F.length("c.g1") <= 2)) & (letters("a.g1") == letters("c.g1")), INITIAL)
         .when(_near(F.col("a.g1"), F.col("c.g1")) & (F.length("a.g1") >= 4), TYPO)
-        .otherwise(-5.0)
+        .otherwise(TYPO - 2)
     )
-    by_paper = (
+    score = F.log("c.n") + alike + _family_cost(F.col("a.s"), F.col("c.typed")) + NEARBY
+    best = (
         a.join(c, (F.col("a.place") == F.col("c.place")) & (F.col("a.key") == F.col("c.key")))
         .where(_same_family(F.col("a.s"), F.col("c.typed")))
-        .groupBy("a.mention_id")
-        .agg(F.max_by("c.entity", F.struct(F.log("c.n") + alike + _family_cost(F.col("a.s"), F.col("c.typed")), "c.entity")).alias("by_paper"))
-    )
-    whole = resolved.select(F.col("typed").alias("s"), "g1", "g2", letters("g1").alias("i"), "entity").distinct()
-    near_key = _lookup(whole.where(F.length("g1") > 2).select(F.explode(family_keys(F.col("s"))).alias("key"), "g1", "entity").distinct(), "e0", ["key", "g1"])
-    by_key = (
-        loose.where(F.length("g1") > 2)
-        .select("mention_id", "g1", F.explode(family_keys(F.col("s"))).alias("key"))
-        .join(near_key, ["key", "g1"])
-        .groupBy("mention_id")
-        .agg(F.min("e0").alias("e0"), F.max("e0").alias("other"))
-        .where("e0 = other")
-        .drop("other")
+        .groupBy("a.place", "a.s", "a.g1")
+        .agg(F.max(F.struct(score.alias("score"), F.col("c.entity").alias("entity"))).alias("best"))
     )
-    rest = (
-        loose.withColumn("i", letters("g1"))
-        .join(by_paper, "mention_id", "left")
-        .join(_lookup(whole, "e3", ["s", "g1", "g2"]), ["s", "g1", "g2"], "left")
-        .join(_lookup(whole, "e2", ["s", "g1"]), ["s", "g1"], "left")
-        .join(_lookup(whole, "e1", ["s", "i"]), ["s", "i"], "left")
-        .join(by_key, "mention_id", "left")
-        .select(
-            "mention_id", "orcid",
-            F.coalesce("by_paper", "e3", "e2", "e0", F.when(F.col("orcid").isNull(), F.col("e1")), F.concat_ws("|", F.lit("person"), F.lit(""), "s", "g1", "g2")).alias("entity"),
-        )
-    )
-    assigned = written(first.unionByName(rest), "assigned")
-    return _joined_by_orcid(assigned).unionByName(orgs)
-
-
-def _joined_by_orcid(assigned: DataFrame, rounds: int = 3) -> DataFrame:
-    """Entities that share an ORCID become one: the least name travels between them."""
+    return asked.join(best, ["place", "s", "g1"]).select("mention_id", "best.entity", "best.score")
+
+
+def _known_entities(loose: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``mention_id, entity, score``: entities that hold most of a name anywhere, found for each distinct name. Of a name's
+    holders only the first and the sum are kept, so a name of many holders is one row."""
+    units = loose.select("s", "g1", "g2", "free").distinct()
+    asks = units.select("s", "g1", "g2", "free", F.inline(_name_keys(F.col("g1"), F.col("g2"), family_keys(F.col("s")), F.col("s"), F.col("free"))))
+    asks = written(asks, "name-keys")
+    names = resolved.groupBy(F.col("typed").alias("s"), "g1", "g2", "entity").agg(F.sum("n").alias("n"))
+    looks = names.select("entity", "n", F.inline(_name_keys(F.col("g1"), F.col("g2"), family_keys(F.col("s")), F.col("s"))))
+    looks = looks.join(asks.select("key").distinct(), "key", "left_semi").groupBy("key", "entity").agg(F.sum("n").alias("n"))
+    held = looks.groupBy("key").agg(F.max(F.struct("n", "entity")).alias("most"), F.sum("n").alias("total"))
+    held = held.where(F.col("most.n") > LEAST_SHARE * F.col("total")).select("key", "most.entity", F.log(F.col("most.n") / F.col("total")).alias("share"))
+    best = asks.join(held, "key").groupBy("s", "g1", "g2", "free").agg(F.max(F.struct((F.col("share") + F.col("cost")).alias("score"), "entity")).alias("best"))
+    return loose.join(best, ["s", "g1", "g2", "free"]).select("mention_id", "best.entity", "best.score")
+
+
+def _joined_by_orcid(assigned: DataFrame) -> DataFrame:
+    """Entities that share an ORCID become one: the least name travels between them until none changes."""
     edges = written(assigned.where("orcid is not null").select("entity", "orcid").distinct(), "orcids")
-    label = edges.select("entity").distinct().withColumn("label", F.col("entity"))
-    for _ in range(rounds):
-        by_orcid = edges.join(label, "entity").groupBy("orcid").agg(F.min("label").alias("label"))
-        label = written(edges.join(by_orcid, "orcid").groupBy("entity").agg(F.min("label").alias("label")), "labels")
+    # an entity of one ORCID that no other has needs no step
+    single = edges.groupBy("orcid").agg(F.count("*").alias("n")).where("n > 1").select("orcid")
+    edges = written(edges.join(single, "orcid", "left_semi"), "orcids", replaces=edges)
+    label = written(edges.select("entity").distinct().select("entity", F.col("entity").alias("label"), F.lit(True).alias("moved")), "labels")
+    while not label.where("moved").isEmpty():
+        by_orcid = edges.join(label, "entity").groupBy("orcid").agg(F.min("label").alias("least"))
+        least = edges.join(by_orcid, "orcid").groupBy("entity").agg(F.min("least").alias("least"))
+        label = written(label.join(least, "entity").select("entity", F.col("least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels", replaces=label)
     return assigned.join(label, "entity", "left").select("mention_id", F.coalesce("label", "entity").alias("entity"))
 
 

@@ -1,4 +1,4 @@
-from lattica.llm.names import entities, linked_pairs
+from lattica.llm.names import _joined_by_orcid, _roots, entities, linked_pairs, nicknames
 
 SCHEMA = "mention_id long, paper_id long, given string, family string, full_name string, orcid string, affiliation string"
 A, B = "University of Aville", "Dept. of Physics, Bstadt Institute of Technology"
@@ -66,3 +66,26 @@ def test_hot_name_and_long_names(spark, collect):
     rows = [(i, "Ann", "Hotname", None, None, A) for i in range(60)] + [(100 + i, f"G{chr(97 + i % 26)}x{chr(97 + i // 26)}", f"Fam{chr(97 + i % 26)}{chr(97 + i // 26)}zz", None, None, B) for i in range(120)]
     rows.append((900, "x" * 3000, "y" * 3000, None, None, A))
     assert sum(a < 60 and b < 60 for a, b in collect(linked_pairs(people(spark, *rows)))) == 60 * 59 // 2
+
+
+def test_long_chains(spark):
+    """Links of any length lead to their end; ORCIDs join chains of any length."""
+    n = 40
+    links = spark.createDataFrame([(f"w{i:02}", f"w{i + 1:02}") for i in range(n)], "s string, to_s string")
+    assert {r.to_s for r in _roots(links, ["s"]).collect()} == {f"w{n:02}"}
+    rows = [(2 * i + k, f"e{i + k:02}", f"o{i:02}") for i in range(9) for k in (0, 1)] + [(100, "x", None), (101, "y", "alone")]
+    got = {r.mention_id: r.entity for r in _joined_by_orcid(spark.createDataFrame(rows, "mention_id long, entity string, orcid string")).collect()}
+    assert {got[i] for i in range(18)} == {"e00"} and got[100] == "x" and got[101] == "y"
+
+
+def test_large_groups_count_for_known_nicknames(spark, collect):
+    """One small group shows the pair; the other is a hot family with many first names."""
+    forms = [("p", "small", g, 1) for g in ("robert", "bob")] + [("q", "hot", f"name{chr(97 + i)}x", 1) for i in range(20)] + [("q", "hot", g, 1) for g in ("robert", "bob")]
+    assert collect(nicknames(spark.createDataFrame(forms, "place string, s string, g1 string, n long"))) == [("bob", "robert"), ("robert", "bob")]
+
+
+def test_name_without_place_goes_by_share(spark):
+    """An entity that holds most of a name takes it; of two that hold it alike none does."""
+    rows = [(1, "Ann", "Sorbenko", None, None, A)] * 5 + [(2, "Ann", "Sorbenko", None, None, B), (3, "Ann", "Sorbenko", None, None, None)]
+    assert [0, 1, 2, 3, 4, 6] in clusters(spark, *rows)
+    assert [2] in clusters(spark, rows[0], rows[5], rows[6])
