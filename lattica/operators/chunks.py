@@ -68,3 +68,38 @@ def python_chunks(df: DataFrame, key: str, text: str, whole: bool = False) -> Da
         return chunks
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lit("<module>").alias("name"), F.col(text).alias("chunk"))
     return chunks.unionByName(texts.join(found.select("key").distinct(), "key", "left_anti"))
+
+
+def python_api(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, kind, name, signature, doc``: the public functions and classes of a text that parses as Python, and the public
+    methods of these classes, with their arguments and the first line of their docstring; other texts give none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ast
+        import warnings
+
+        warnings.simplefilter("ignore")
+        functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+        def entry(k, node, name):
+            signature = ast.unparse(node.args) if isinstance(node, functions) else ", ".join(map(ast.unparse, node.bases))
+            doc = (ast.get_docstring(node) or "").strip().split("\n")[0]
+            return k, "function" if isinstance(node, functions) else "class", name, signature, doc
+
+        for batch in batches:
+            rows = []
+            for k, source in zip(batch["key"], batch["text"]):
+                try:
+                    body = ast.parse(source).body
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for node in body:
+                    if isinstance(node, (*functions, ast.ClassDef)) and not node.name.startswith("_"):
+                        rows.append(entry(k, node, node.name))
+                        inner = node.body if isinstance(node, ast.ClassDef) else []
+                        rows += [entry(k, m, f"{node.name}.{m.name}") for m in inner if isinstance(m, functions) and (m.name == "__init__" or not m.name.startswith("_"))]
+            yield pd.DataFrame(rows, columns=["key", "kind", "name", "signature", "doc"])
+
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return texts.mapInPandas(parse, f"key {kind}, kind string, name string, signature string, doc string")

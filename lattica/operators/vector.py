@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +33,63 @@ def unit(a: Column) -> Column:
     return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, metric: str = "ip", block: int = 256, most_queries: int = 20_000
-) -> DataFrame:
-    """``query_id, id, score, rank``: the k best of all vectors for each query, exactly.
+#: Queries that meet a batch of vectors at once.
+QUERY_BLOCK = 512
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k greatest scores with their ids, ties by the least id."""
+    if scores.shape[1] > 4 * k:  # only what reaches the k-th score is sorted
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        width = int((scores >= least[:, None]).sum(1).max())
+        if width < scores.shape[1]:
+            at = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+            scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    Queries are packed in blocks; each block meets every vector once (a stated query set against all rows), best k are
-    kept for each task before the shuffle by ranking within a salt, then ranked again. ``metric``: ip or l2. The number
-    of queries is checked, as their blocks are broadcast: beyond ``most_queries`` call in parts.
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, metric: str = "ip", most_queries: int = 20_000) -> DataFrame:
+    """``query_id, id, score, rank``: the k best of all vectors for each query, exactly; ``metric``: ip or l2 (the score is
+    the squared distance, negated).
+
+    The queries are counted first, as all of them meet every batch of vectors: beyond ``most_queries`` call in parts. Each
+    task multiplies its vectors with the queries in Arrow batches and keeps k for each query, so what is shuffled are k rows
+    a query and task. Ids are whole numbers; scores are compared to nine decimals, ties go to the least id; null vectors
+    and those of another length than the queries' are left out.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
+    rows = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col)).limit(most_queries + 1).collect()
+    if len(rows) > most_queries:
         raise ValueError(f"more than {most_queries} queries: pass them in parts")
-    score = dot if metric == "ip" else lambda a, b: -squared_distance(a, b)
-    packed = (
-        queries.where(F.col(vector_col).isNotNull())
-        .groupBy(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block)))).alias("b"))
-        .agg(F.collect_list(F.struct(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))).alias("queries"))
-        .select("queries")
-    )
-    pairs = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(packed))
-    scored = pairs.select("id", "v", F.explode("queries").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", score(F.col("v"), F.col("q.q")).alias("score"))
-    order = [F.desc("score"), F.col("id")]
-    local = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
-    local = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    spark, schema = vectors.sparkSession, "query_id long, id long, score double"
+    if not rows:
+        return spark.createDataFrame([], schema + ", rank long")
+    width = len(rows[0][1])
+    kept = [r for r in rows if len(r[1]) == width]
+    held = spark.sparkContext.broadcast((np.array([r[0] for r in kept], dtype=np.int64), np.array([r[1] for r in kept], dtype=np.float64)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = held.value
+        top = [(np.full((len(part), 0), 0.0), np.full((len(part), 0), 0, dtype=np.int64)) for part in np.array_split(names, max(1, -(-len(names) // QUERY_BLOCK)))]
+        blocks = np.array_split(matrix, len(top))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column(0), dtype=np.int64)
+            v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, width)
+            for i, q in enumerate(blocks):
+                scores = q @ v.T
+                if metric != "ip":
+                    scores = -np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * scores, 0.0)
+                scores = np.concatenate([top[i][0], np.round(scores, 9)], axis=1)
+                top[i] = _best(scores, np.concatenate([top[i][1], np.broadcast_to(ids, (len(q), len(ids)))], axis=1), k)
+        for part, (scores, ids) in zip(np.array_split(names, len(top)), top):
+            n = scores.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, n)), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["query_id", "id", "score"])
+
+    same = vectors.where(F.size(vector_col) == width).where(~F.exists(vector_col, lambda x: x.isNull()))
+    local = same.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(best, schema)
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))))
     return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import parse, text
-from lattica.operators.chunks import line_windows, python_chunks
+from lattica.operators.chunks import line_windows, python_api, python_chunks
 from lattica.sources.tables import table
 
 
@@ -82,6 +82,11 @@ def t12_python_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return python_chunks(code, "doc_id", "text", whole=True).withColumnRenamed("key", "doc_id")
 
 
+def t13_api(spark: SparkSession, folder: str) -> DataFrame:
+    code = table(spark, folder, "documents").where("doc_kind = 'code_chunk'")
+    return python_api(code, "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def o10_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").where("text is not null")
     return line_windows(texts, "doc_id", "text", 10).select(F.col("key").alias("doc_id"), "window_no", "first_line", F.length("chunk").alias("chars"))
@@ -140,6 +145,7 @@ QUERIES = {
     "t10_sections": t10_sections,
     "t11_first_heading": t11_first_heading,
     "t12_python_chunks": t12_python_chunks,
+    "t13_api": t13_api,
     "o10_line_windows": o10_line_windows,
 }
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.dedupe import dense_ids
+
 TRIPLE = "h string, r string, t string, _model string, _prompt string, _bad string"
 PAPER = (
     "pdf_filename string, title string, doi string, sections array<struct<level int, heading string, body string, content string,"
@@ -59,10 +61,51 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``file_no, line_no, line`` of a log and its rotations (.1, .2, …), the newest file first."""
-    rotation = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d+)$", 1)
-    whole = spark.read.text(path, wholetext=True).select(F.coalesce(rotation.try_cast("int"), F.lit(0)).alias("file_no"), "value")
-    return whole.select("file_no", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """``file_no, line_no, line`` of a log and its rotations (.1, .2, …), the newest file first. Lines are read in splits
+    and numbered in the order of their places, so a large log is no single row or task."""
+    rotation = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d+)$", 1).try_cast("int"), F.lit(0))
+    lines = spark.read.text(path).select(rotation.alias("file_no"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line"))
+    numbered = dense_ids(lines, ["file_no", "__from", "__at"], "__n")
+    first = numbered.groupBy("file_no").agg(F.min("__n").alias("__first"))  # one row a file
+    return numbered.join(F.broadcast(first), "file_no").select("file_no", (F.col("__n") - F.col("__first")).cast("int").alias("line_no"), "line")
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths (patterns too) under which there is something: a missing folder is no error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(p))
+    return [p for p in paths if found(p)]
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of the paths that is there: refined before deduplicated before merged tables."""
+    found = existing(spark, paths)
+    if not found:
+        raise FileNotFoundError(f"none of these is there: {', '.join(paths)}")
+    return found[0]
+
+
+def entity_names(spark: SparkSession, paths: list[str], column: str = "entity_name") -> DataFrame:
+    """The names of the first table that is there; null and blank ones are left out."""
+    return read_piped(spark, first_existing(spark, paths)).select(column).where(F.trim(column) != "").distinct()
+
+
+def read_merged(spark: SparkSession, folders: list[str], pattern: str, schema: str) -> DataFrame:
+    """Piped tables of many output folders as one; folders that are not there are passed over."""
+    paths = existing(spark, [f"{f.rstrip('/')}/{pattern}" for f in folders])
+    return read_piped(spark, paths, schema) if paths else spark.createDataFrame([], schema + ", file_stem string")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Comma-separated nodes or edges with a header."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def listing(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """``path, name, stem, size`` of the files below a folder, without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("length").alias("size"))
 
 
 def graphml_lines(vertices: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", label: str = "relation") -> DataFrame:

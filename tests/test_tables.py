@@ -68,7 +68,9 @@ def test_retrieval(spark, collect):
     facts = spark.createDataFrame([("a", "r", "b", "d1"), ("b", "r", "c", "d1"), ("c", "r", "d", "d2"), ("a", "q", "e", None)], "h string, r string, t string, document_id string")
     top, docs = retrieval.ranked_triples(facts, spark.createDataFrame([("a",)], "entity_name string"))
     assert [(r.h, r.t) for r in top.collect()] == [("a", "b"), ("b", "c"), ("a", "e")] and collect(docs) == [("", 1), ("d1", 2)]
-    assert retrieval.context(top, F.lit("why?"), "{context}\n{query}").first()[0].endswith("why?")
+    texts = spark.createDataFrame([("d1", "T", "x y"), ("d9", "no", "no")], "document_id string, title string, text string")
+    prompt = retrieval.context(top, texts, F.lit("why?"), "{context}\n{query}", ["h", "r", "t"]).first()[0]
+    assert prompt == "a | q | e\na | r | b\nb | r | c\n\nT\nx y\nwhy?"
 
 
 def test_vectors(spark, collect):
