@@ -110,7 +110,7 @@ def header_forms(df: DataFrame, fields: list[str]) -> list[str]:
     texts = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text"))
     texts = texts.where(F.col("text").rlike(r"(?m)^[\f ]*[-–—\[(]?(?:\p{L}+\.? ?)?\d{1,4}(?: ?(?:of|/) ?\d+)?[-–—\])]?[\r ]*$"))
     lines = F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != "")
-    numbers = F.transform("lines", lambda x: x.rlike(number))
+    numbers = F.transform("lines", lambda x: (F.length(x) <= 24) & x.rlike(number))
     rows = texts.select(lines.alias("lines")).select("lines", numbers.alias("numbers"))
     rows = rows.select(F.inline(F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.get("numbers", i - 1) | F.get("numbers", i + 1)).alias("beside")))))
     rows = rows.where(_may_be_header(F.col("line"), F.col("line"))).groupBy(_form(F.col("line")).alias("form"))
@@ -166,11 +166,12 @@ def classified(lines: DataFrame, forms: list[str]) -> DataFrame:
     # the last line before a run of cells says whether they are a table
     above = F.last(F.when(~cell, F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     filled = F.when(F.col("kind") != "blank", F.col("kind"))
-    before = F.last(filled, ignorenulls=True).over(order.rowsBetween(-2, -1))
-    after = F.first(filled, ignorenulls=True).over(order.rowsBetween(1, 2))
-    decimals = F.max((F.col("kind") == "table").cast("int")).over(order.rowsBetween(-1, 1))
+    before = F.coalesce(F.lag(filled, 1).over(order), F.lag(filled, 2).over(order))
+    after = F.coalesce(F.lead(filled, 1).over(order), F.lead(filled, 2).over(order))
+    tables = [F.lag("kind").over(order), F.col("kind"), F.lead("kind").over(order)]
+    decimals = F.array_contains(F.array(*[F.coalesce(x, F.lit("")) for x in tables]), "table")
     page = F.col("line").startswith("\f") | (F.coalesce(before, F.lit("")) == "header") | (F.coalesce(after, F.lit("")) == "header") | (
-        (F.coalesce(above, F.lit("")) != "caption") & (decimals == 0) & ~_bare(F.col("line")).startswith("(")
+        (F.coalesce(above, F.lit("")) != "caption") & ~decimals & ~_bare(F.col("line")).startswith("(")
     )
     lines = lines.select(
         "doc", "key", "field_name", "line_no", "line",
