@@ -153,7 +153,8 @@ def sections(df: DataFrame, key: str, text: str, fallback: bool = True) -> DataF
 
 
 def log_events(lines: DataFrame, line: str = "line") -> DataFrame:
-    """One row for each event that a log line tells of: kind, done, total, triples, subject, seconds."""
+    """One row for each event that a log line tells of: kind, done, total, triples, subject, seconds, and the server that
+    the line names (a host, or what a call went to)."""
     c = F.col(line)
     # The shapes of lines that the extraction log holds.
     shapes = {
@@ -163,16 +164,26 @@ def log_events(lines: DataFrame, line: str = "line") -> DataFrame:
         "retry": (r"Regeneration attempt (\d+)/(\d+)(?: for (\S+))?", ("done", "total", "subject")),
         "retry_ok": (r"Regeneration successful on attempt (\d+)(?: for (\S+))?", ("done", "subject")),
         "retry_failed": (r"Regeneration failed completely for (\S+)", ("subject",)),
+        "retry_triggered": (r"Regeneration triggered for (\S+)", ("subject",)),
+        "retry_completed": (r"Regeneration completed successfully for (\S+)", ("subject",)),
         "started": (r"Processing doc(?:ument)? (\S+)", ("subject",)),
+        "queried": (r"Querying model: (\S+).*for doc ", ("subject",)),
+        "opened": (r"Starting extraction.*doc (\S+)", ("subject",)),
+        "prompt": (r"Processing prompt (\d+)/(\d+):?\s*(\S+)?", ("done", "total", "subject")),
         "timeout": (r"Read timed out", ()),
         "malformed": (r"Failed to fix malformed response", ()),
-        "fault": (r"ConnectionError|RequestException|HTTPError|ServerError|Connection refused|Connection reset|Network is unreachable|Failed to connect|Socket error", ()),
+        "fault": (
+            r"(?i)ConnectionError|RequestException|HTTPError|ServerError|Connection refused|Connection reset|Network is unreachable|Name or service not known|Failed to connect|Socket error",
+            (),
+        ),
     }
     types = {"done": "int", "total": "int", "triples": "int", "subject": "string", "seconds": "double"}
+    named = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    server = F.coalesce(named(r"host='([^']+)'"), named(r"\bto ([^:\s]+)"))
     events = []
     for kind, (pattern, names) in shapes.items():
         fields = [
             (F.regexp_extract(c, pattern, names.index(n) + 1).try_cast(t) if n in names else F.lit(None).cast(t)).alias(n) for n, t in types.items()
         ]
-        events.append(F.when(c.rlike(pattern), F.struct(F.lit(kind).alias("kind"), *fields)))
+        events.append(F.when(c.rlike(pattern), F.struct(F.lit(kind).alias("kind"), *fields, server.alias("server"))))
     return lines.select("*", F.inline(F.filter(F.array(*events), lambda e: e.isNotNull())))

@@ -11,7 +11,7 @@ model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import components
@@ -49,10 +49,11 @@ def _settled(edges: DataFrame, start: DataFrame, total: float, gamma: float | No
         moved = state.join(best, "node", "left").select(
             "node", "weight", "within", F.when(F.col("turn"), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("to").isNotNull().alias("wants")
         )
-        moved = written(moved, "moving")
+        seen = Observation()  # counted while the round is written
+        moved = written(moved.observe(seen, F.count_if("wants").alias("n")), "moving")
         if state is not start:
             drop_written(state)
-        if moved.where("wants").isEmpty():
+        if seen.get["n"] == 0:
             return moved
         state = moved
     raise RuntimeError(f"communities still move after {SAFETY} rounds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,17 @@ def rollup_by(events: DataFrame, server: str, ok: Column, seconds: Column, limit
     )
 
 
+def server_report(events: DataFrame, server: str = "server", kind: str = "kind") -> DataFrame:
+    """Per server: its requests and what became of them, timeouts, broken responses, faults and repeated attempts."""
+    n = lambda *kinds: F.count_if(F.col(kind).isin(*kinds))
+    counts = events.groupBy(server).agg(
+        n("extracted", "failed").alias("requests"), n("extracted").alias("success"), n("failed").alias("failed"), n("timeout").alias("timeouts"),
+        n("malformed").alias("malformed"), n("fault").alias("faults"), n("retry").alias("retries"), n("retry_ok").alias("retries_ok"), F.sum("triples").alias("triples"),
+    )
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)) * 100, 6)
+    return counts.withColumns({"success_pct": share("success", "requests"), "retry_pct": share("retries", "requests"), "retry_ok_pct": share("retries_ok", "retries")})
+
+
 def completion(done: DataFrame, expected: Column, key: list[str], seconds: str) -> DataFrame:
     """One row: combinations done, left, share done, and the time left at the mean pace."""
     each = done.groupBy(*key).agg(F.avg(seconds).alias("s"))
@@ -57,7 +68,3 @@ def agreement(runs: DataFrame, query: str, variant: str, vector: str, cosine) ->
     a = runs.select(F.col(query).alias("q"), F.col(variant).alias("first"), F.col(vector).alias("x"))
     b = runs.select(F.col(query).alias("q"), F.col(variant).alias("second"), F.col(vector).alias("y"))
     return a.join(b, "q").where("first < second").groupBy("first", "second").agg(F.avg(cosine(F.col("x"), F.col("y"))).alias("similarity"))
-
-
-def with_previous(df: DataFrame, value: str, order: list[str], partition: list[str]) -> DataFrame:
-    return df.withColumn(f"previous_{value}", F.lag(value).over(Window.partitionBy(*partition).orderBy(*order)))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lattica.functions.parse import log_events
 from lattica.operators import corpus, dedupe, evaluation, graph, lookups, vector
 from lattica.plans.graph_queries import _NODES, edges, nodes
+from lattica.session import new_path
 from lattica.sources.tables import table
+from lattica.streaming.orphan_stream import late_counts
 
 
 def papers(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -134,6 +136,19 @@ def a16_rollup(spark, folder):
     return out.select("subject", "requests", "success", "failed", "over_limit", F.round("total_s", 2).alias("total_s"), F.round("avg_s", 4).alias("avg_s"))
 
 
+def a16_servers(spark, folder):
+    """The events written as lines of ten kinds, each with its host, and counted by server."""
+    e, host = table(spark, folder, "events").where("event_type is not null"), F.concat(F.lit(" host='"), F.col("event_type"), F.lit("'"))
+    shapes = (
+        "Failed to extract triples from m after 2.5s", "Read timed out.", "Failed to fix malformed response", "Connection refused", "Regeneration attempt 1/3 for m",
+        "Regeneration successful on attempt 2 for m", "Regeneration triggered for m", "Processing prompt 1/2: p", "nothing", "Querying model: m for doc d",
+    )
+    k = F.col("event_id") % 20
+    line = F.format_string("Extracted %s triples from m in 1.5s", (F.col("user_id") % 90).cast("string"))
+    line = F.coalesce(*[F.when(k == i, F.lit(x)) for i, x in enumerate(shapes)], line)
+    return evaluation.server_report(log_events(e.select("event_id", F.concat(line, host).alias("line"))).where("server is not null"))
+
+
 def a15_time_buckets(spark, folder):
     found = t14_log_events(spark, folder).where("kind = 'extracted'")
     return found.groupBy(evaluation.time_bucket(F.col("seconds") * 10).alias("bucket")).agg(F.count("*").alias("n"))
@@ -181,6 +196,16 @@ def stream_counts(spark, folder):
     )
 
 
+def stream_windows(spark, folder):
+    """The same counts by a streaming job over the files, with a watermark of a day: windows that it has closed."""
+    out, events = new_path(spark, "windows"), table(spark, folder, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*").where("event_type is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = late_counts(stream, "ts", "1 day", "1 day", "event_type")
+    query = counts.writeStream.option("path", out).option("checkpointLocation", new_path(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("day"), F.col("key").alias("event_type"), "n")
+
+
 QUERIES = {
     "j01_papers_nodes": j01_papers_nodes,
     "j11_not_in_other_source": j11_not_in_other_source,
@@ -207,12 +232,14 @@ QUERIES = {
     "t14_log_events": t14_log_events,
     "a16_rollup": a16_rollup,
     "a15_time_buckets": a15_time_buckets,
+    "a16_servers": a16_servers,
     "o08_carry_forward": o08_carry_forward,
     "a12_variant_means": a12_variant_means,
     "a13_baseline_delta": a13_baseline_delta,
     "a18_completion": a18_completion,
     "a20_summary": a20_summary,
     "stream_counts": stream_counts,
+    "stream_windows": stream_windows,
 }
 
 _PAPERS = "(select * from papers qualify row_number() over (partition by paper_id order by marker_processed is null, not marker_processed nulls first, processed_at nulls first, title nulls first, doi nulls first) = 1)"
@@ -253,10 +280,15 @@ ORACLE = {
     "t14_log_events": f'''select event_id, case k when 0 then 'failed' when 1 then 'timeout' else 'extracted' end kind, case when k <> 1 then event_type end subject, case when k > 1 then triples end triples, case when k <> 1 then "seconds" end as "seconds" from {_LOG}''',
     "a16_rollup": f"select event_type subject, count(*) requests, count(*) filter (where k > 1) success, count(*) filter (where k = 0) failed, count(*) filter (where seconds > 60) over_limit, round(sum(seconds) filter (where k > 1), 2) total_s, round(avg(seconds) filter (where k > 1), 4) avg_s from {_LOG} where k <> 1 group by 1",
     "a15_time_buckets": f"select case when seconds * 10 < 60 then '<1m' when seconds * 10 < 300 then '1-5m' when seconds * 10 < 600 then '5-10m' when seconds * 10 < 3600 then '10-60m' else '>1h' end bucket, count(*) n from {_LOG} where k > 1 group by 1",
+    "a16_servers": """with c as (select event_type server, count(*) filter (where k = 0 or k >= 10) requests, count(*) filter (where k >= 10) success, count(*) filter (where k = 0) failed, count(*) filter (where k = 1) timeouts,
+        count(*) filter (where k = 2) malformed, count(*) filter (where k = 3) faults, count(*) filter (where k = 4) retries, count(*) filter (where k = 5) retries_ok, sum(user_id % 90) filter (where k >= 10)::bigint triples
+        from (select *, event_id % 20 k from events where event_type is not null) group by 1)
+        select *, round(success / nullif(requests, 0) * 100, 6) success_pct, round(retries / nullif(requests, 0) * 100, 6) retry_pct, round(retries_ok / nullif(retries, 0) * 100, 6) retry_ok_pct from c""",
     "o08_carry_forward": "select event_id, last_value(server ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) last_server from (select *, case when event_id % 3 > 0 then event_type end server from events)",
     "a12_variant_means": "select event_type, round(avg(value), 6) avg_value from events group by 1",
     "a13_baseline_delta": "with m as (select user_id % 10 grp, event_type, avg(value) v from events group by 1, 2) select a.grp, a.event_type, round(a.v - b.v, 6) delta from m a join m b on a.grp = b.grp and b.event_type = 'click' where a.event_type <> 'click'",
     "a18_completion": "with g as (select document_id, model_name, count(*) s from predication where model_name is not null group by 1, 2), e as (select count(*) * 4 x from kg_document) select count(*) done, any_value(x) - count(*) remaining, round(count(*) / any_value(x) * 100, 6) pct, round(avg(s) * (any_value(x) - count(*)), 3) eta_s from g, e",
     "a20_summary": "select count(*) documents, round(avg(length(body)), 6) avg_length, round(avg(case when length(body) > 4000 then 1.0 when body is null then null else 0.0 end), 6) truncated_rate from kg_document",
+    "stream_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) n from events where event_type is not null group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events where event_type is not null)",
     "stream_counts": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) n from events where event_type is not null group by 1, 2",
 }

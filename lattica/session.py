@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``: all executors must see it."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``: all executors must see it. Only a session that is one
+    process (tests, one machine) may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        folder = f"file://{tempfile.gettempdir()}/{spark.sparkContext.applicationId}"
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir, a folder that all executors share, before the session starts")
     return folder.rstrip("/")

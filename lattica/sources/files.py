@@ -30,6 +30,34 @@ def write_piped(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("sep", "|").option("escape", '"').mode("overwrite").csv(path)
 
 
+def write_table(df: DataFrame, path: str, *order: str) -> None:
+    """Comma-separated with a header; with ``order`` the parts follow each other in that order (a range sort, no single task)."""
+    (df.orderBy(*order) if order else df).write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+
+
+def append_triples(df: DataFrame, path: str) -> None:
+    """JSON lines in a folder for each document, added to what is there."""
+    df.write.mode("append").partitionBy("document_id").json(path)
+
+
+def append_traces(df: DataFrame, path: str, at: str) -> None:
+    """Events as JSON lines in a folder for each day, added to what is there."""
+    df.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").json(path)
+
+
+def parted_by_error(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Rows that went well and, for a log of their own, those with an error."""
+    bad = F.trim(F.coalesce(F.col(error), F.lit(""))) != ""
+    return df.where(~bad), df.where(bad)
+
+
+def result_record(triples: DataFrame, documents: DataFrame, query: str, order: list[str], most: int = 20) -> DataFrame:
+    """``result``: one JSON text of a query, its triples (the first ``most`` in order) and its documents."""
+    listed = lambda df, keys, n: df.orderBy(*keys).limit(n).agg(F.collect_list(F.struct(*df.columns)).alias("x"))
+    found, texts = listed(triples, order, most).withColumnRenamed("x", "triples"), listed(documents, documents.columns, most).withColumnRenamed("x", "documents")
+    return found.crossJoin(F.broadcast(texts)).select(F.to_json(F.struct(F.lit(query).alias("query"), "triples", "documents")).alias("result"))  # one row each
+
+
 def read_triples(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """JSON lines of triples, with the document's id from the file name; blank lines and broken ones are left out."""
     df = spark.read.schema(TRIPLE).option("columnNameOfCorruptRecord", "_bad").json(paths)

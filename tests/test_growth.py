@@ -132,6 +132,22 @@ def test_paths(spark, collect, tmp_path):
         files.first_existing(spark, paths[:1])
 
 
+def test_writers(spark, collect, tmp_path):
+    names = spark.createDataFrame([("b,c", 2), ('a"', 1)], "name string, n int")
+    files.write_table(names, str(tmp_path / "t"), "name")
+    assert collect(files.read_table(spark, str(tmp_path / "t"), "name string, n int")) == [('a"', 1), ("b,c", 2)]
+    triples = spark.createDataFrame([("a", "r", "b", "d1")], "h string, r string, t string, document_id string")
+    for _ in range(2):
+        files.append_triples(triples, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    events = spark.createDataFrame([("2024-01-02 03:04:05", "x")], "at string, kind string")
+    files.append_traces(events, str(tmp_path / "e"), "at")
+    assert (tmp_path / "e" / "day=2024-01-02").is_dir()
+    good, bad = files.parted_by_error(spark.createDataFrame([(1, None), (2, " "), (3, "oops")], "k int, error string"))
+    assert collect(good.select("k")) == [(1,), (2,)] and collect(bad.select("k")) == [(3,)]
+    assert files.result_record(triples, triples.select("document_id"), "q", ["h"]).first().result == '{"query":"q","triples":[{"h":"a","r":"r","t":"b","document_id":"d1"}],"documents":[{"document_id":"d1"}]}'
+
+
 def test_written_frames_are_dropped(spark):
     a = written(spark.range(3), "a")
     b = written(a.selectExpr("id + 1 as id"), "b", replaces=a)
