@@ -69,7 +69,7 @@ def response_triples(response: Column) -> Column:
     flat = F.regexp_extract_all(response, F.lit(r"\{[^{}]*\}"), F.lit(0))
     ordered = present(F.transform(F.filter(parsed(flat), _in_order), _triple))
     lines = present(F.transform(F.split(F.trim(response), "\n"), json_slice))
-    opened = F.filter(F.slice(F.split(response, r"\{"), 2, 2147483647), lambda x: x.contains("}"))
+    opened = F.filter(F.split(response, r"\{"), lambda x, i: (i > 0) & x.contains("}"))
     rest = F.transform(opened, lambda x: F.concat(F.lit("{"), F.substring_index(x, "}", 1), F.lit("}")))
     by_line, by_brace = (present(F.transform(parsed(x), _triple)) for x in (lines, rest))
     found = F.when(F.size(ordered) > 0, ordered).when(F.size(by_line) > 0, by_line).otherwise(by_brace)

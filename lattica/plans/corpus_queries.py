@@ -289,6 +289,6 @@ ORACLE = {
     "a13_baseline_delta": "with m as (select user_id % 10 grp, event_type, avg(value) v from events group by 1, 2) select a.grp, a.event_type, round(a.v - b.v, 6) delta from m a join m b on a.grp = b.grp and b.event_type = 'click' where a.event_type <> 'click'",
     "a18_completion": "with g as (select document_id, model_name, count(*) s from predication where model_name is not null group by 1, 2), e as (select count(*) * 4 x from kg_document) select count(*) done, any_value(x) - count(*) remaining, round(count(*) / any_value(x) * 100, 6) pct, round(avg(s) * (any_value(x) - count(*)), 3) eta_s from g, e",
     "a20_summary": "select count(*) documents, round(avg(length(body)), 6) avg_length, round(avg(case when length(body) > 4000 then 1.0 when body is null then null else 0.0 end), 6) truncated_rate from kg_document",
-    "stream_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) n from events where event_type is not null group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events where event_type is not null)",
+    "stream_windows": "select day, event_type, n from (select date_trunc('day', ts)::timestamp as day, event_type, count(*) n from events where event_type is not null group by 1, 2) where day + interval 1 day <= (select max(ts) - interval 1 day from events where event_type is not null)",
     "stream_counts": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) n from events where event_type is not null group by 1, 2",
 }
