@@ -50,13 +50,30 @@ def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(source), "".join(target), several
 
 
+def _class_of(chars: list[str]) -> str:
+    """A character class of the characters, neighbours as ranges."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(chr(a) + "-" + chr(z) for a, z in ranges) + "]"
+
+
 def ascii_fold(value: Column) -> Column:
     """ASCII part of the compatibility decomposition."""
     source, target, several = _compatibility()
-    # most values are ASCII, and most others have none of the characters that fold to several: those steps are skipped
-    pairs = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in several])), "array<struct<c:string,f:string>>")  # one literal
-    pairs = F.filter(pairs, lambda p: value.contains(p["c"]))
-    long = F.when(value.rlike("[" + "".join(c for c, _ in several) + "]"), F.aggregate(pairs, value, lambda v, p: F.replace(v, p["c"], p["f"])))
+
+    def unfolded(value: Column, pairs: list[tuple[str, str]]) -> Column:
+        listed = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in pairs])), "array<struct<c:string,f:string>>")  # one literal
+        return F.aggregate(listed, value, lambda v, p: F.replace(v, p["c"], p["f"]))
+
+    # most values are ASCII, most others have none of the characters that fold to several, and most of these only such as
+    # ellipses, ligatures and fractions: the steps that a value doesn't need are skipped
+    usual = [p for p in several if ord(p[0]) < 0x2190 or 0xFB00 <= ord(p[0]) <= 0xFB06]
+    rare = [p for p in several if p not in usual]
+    long = F.when(value.rlike(_class_of([c for c, _ in rare])), unfolded(value, several)).when(value.rlike(_class_of([c for c, _ in usual])), unfolded(value, usual))
     folded = F.regexp_replace(F.translate(F.coalesce(long, value), source, target), r"[^\x00-\x7F]", "")
     return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
 
