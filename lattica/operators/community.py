@@ -1,17 +1,25 @@
-"""Communities by local moving, refinement and aggregation (Leiden; Louvain without the refinement), with joins only.
-
-Each round every node looks at the communities of its neighbours (one grouped sum) and takes the one with the greatest
-gain (ties: the least label) if that is better than where it is; of the nodes that want to move those do whose turn it is.
-Turns are dealt anew by a hash in each round, so two neighbours can't swap for ever. A level ends when no node wants to
-move. Leiden then parts each community again: from single nodes, those still alone join the best part of their own
-community. Communities (Leiden: parts, which begin in their community) become the nodes of a weighted graph and the next
-level begins, until a level brings nothing together. The objective is modularity or, with ``gamma``, the constant Potts
-model.
+"""Communities by local moving, refinement and aggregation (Leiden; Louvain without the refinement).
+
+A node takes the community of its neighbours with the greatest gain if that is better than where it is (ties: the one of
+the least neighbour), until no node wants to move. Leiden then parts each community again: from single nodes, those still
+alone join the best part of their own community. Communities (Leiden: parts, which begin in their community) become the
+nodes of a weighted graph and the next level begins, until a level brings nothing together. The objective is modularity
+or, with ``gamma``, the constant Potts model.
+
+Moves are made one after another inside blocks of nodes of bounded size, one task each. A graph of one block, as most are
+after a level or two, is finished in one task, all levels of it. A larger one is dealt anew to blocks by a hash in each
+round: each sees the communities of its nodes' neighbours as they were before the round, and of its nodes those move whose
+turn it is, so two neighbours can't swap for ever. When the nodes that want to move fit one block, they and as many
+others as have room move there, each seeing the moves before it. So a level ends when no node of the whole graph wants to move, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import components
@@ -19,69 +27,255 @@ from lattica.session import drop_written, written
 
 #: Rounds of a level beyond which something is wrong: the operator fails rather than returning what has not settled.
 SAFETY = 1000
+#: Links (in both directions) of a block: some 400 MB of a worker at most.
+BLOCK = 10_000_000
+#: Gains below are none: what the rounding of sums may pretend.
+LEAST_GAIN = 1e-9
+
+
+class _Block:
+    """Nodes 0..n-1 with their links in compressed rows, and the moves over them."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, weight: np.ndarray, per: float):
+        order = np.lexsort((dst, src))
+        self.src, self.dst, self.w = src[order], dst[order], w[order]
+        self.n, self.weight, self.per = n, weight.tolist(), per
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist()
+
+    def best(self, i: int, comm: list, held: list, within: list | None = None) -> int:
+        """The community that node i gains most by; its own if none is better."""
+        a, b = self.ends[i], self.ends[i + 1]
+        sums, own, weight = {}, comm[i], self.weight[i]
+        if within is None:
+            for j, x in zip(self.dst[a:b].tolist(), self.w[a:b].tolist()):
+                c = comm[j]
+                sums[c] = sums.get(c, 0.0) + x
+        else:
+            for j, x in zip(self.dst[a:b].tolist(), self.w[a:b].tolist()):
+                if within[j] == within[i]:
+                    c = comm[j]
+                    sums[c] = sums.get(c, 0.0) + x
+        share = self.per * weight
+        least = max(0.0, sums.pop(own) - share * (held[own] - weight)) if own in sums else 0.0
+        for c, to in sums.items():
+            gain = to - share * held[c]
+            if gain > least + LEAST_GAIN:
+                own, least = c, gain
+        return own
+
+    def settle(self, nodes: list, comm: list, held: list) -> None:
+        """Moves the nodes one after another until none of them wants to move."""
+        mine = bytearray(self.n)
+        for i in nodes:
+            mine[i] = 1
+        moved = True
+        while moved:  # the queue holds neighbours of what moved; the last sweep asks all once more
+            moved, queue, waits = False, deque(nodes), bytearray(mine)
+            while queue:
+                i = queue.popleft()
+                waits[i] = 0
+                own = comm[i]
+                to = self.best(i, comm, held)
+                if to == own:
+                    continue
+                moved = True
+                comm[i] = to
+                held[own] -= self.weight[i]
+                held[to] += self.weight[i]
+                for j in self.dst[self.ends[i] : self.ends[i + 1]].tolist():
+                    if mine[j] and not waits[j] and comm[j] != to:
+                        waits[j] = 1
+                        queue.append(j)
+
+    def gather(self, nodes: list, comm: list, held: list, members: list, within: list) -> None:
+        """Of the nodes, those that are alone join the best community within their own bounds, until none wants to."""
+        moved = True
+        while moved:
+            moved = False
+            for i in nodes:
+                own = comm[i]
+                if members[own] != 1:
+                    continue
+                to = self.best(i, comm, held, within)
+                if to != own:
+                    moved = True
+                    comm[i] = to
+                    held[own], held[to] = held[own] - self.weight[i], held[to] + self.weight[i]
+                    members[own], members[to] = 0, members[to] + 1
+
+
+def _finished(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, weight: np.ndarray, comm: np.ndarray, per: float, refine: bool) -> np.ndarray:
+    """The community of each node when all levels from this one on have settled."""
+    labels = np.arange(n)  # which node of the present graph holds it
+    while True:
+        block, state = _Block(n, src, dst, w, weight, per), comm.tolist()
+        block.settle(list(range(n)), state, np.bincount(comm, weight, n).tolist())
+        comm = np.array(state, dtype=np.int64)
+        if len(np.unique(comm)) == n:
+            return comm[labels]
+        parts = np.arange(n)
+        if refine:
+            own = parts.tolist()
+            block.gather(list(range(n)), own, weight.tolist(), [1] * n, state)
+            parts = np.array(own, dtype=np.int64)
+        if len(np.unique(parts)) == n:  # nothing to put together: the communities themselves go on
+            parts = comm
+        kept, index = np.unique(parts, return_inverse=True)
+        labels, n, weight = index[labels], len(kept), np.bincount(index, weight)
+        # a part begins in its community, named by the first of the community's parts
+        groups = np.unique(comm[kept] if parts is not comm else kept, return_index=True, return_inverse=True)
+        comm = groups[1][groups[2]]
+        a, b = index[block.src], index[block.dst]
+        between = a != b
+        pairs, which = np.unique(a[between] * n + b[between], return_inverse=True)
+        src, dst, w = pairs // n, pairs % n, np.bincount(which, block.w[between], len(pairs))
+
+
+def _pieces(n: int, src: np.ndarray, dst: np.ndarray, comm: np.ndarray) -> np.ndarray:
+    """The least node of the connected piece of its community that holds each node."""
+    inner = comm[src] == comm[dst]
+    src, dst, least = src[inner], dst[inner], np.arange(n)
+    while True:
+        a, b = least[src], least[dst]
+        if (a == b).all():
+            return least
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def _dealt(links: DataFrame, nodes: DataFrame, blocks: int, work: Callable, schema: str) -> DataFrame:
+    """``work`` over each block. ``links``: block, src, dst, w; ``nodes``: block, node, weight, within, community, held,
+    members, mine (of the block), free (may move)."""
+    at = F.struct("within", "held", "members", "mine", "free")
+    rows = links.select("block", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("x")).withColumn(
+        "at", F.lit(None).cast("struct<within:bigint,held:double,members:bigint,mine:boolean,free:boolean>")
+    )
+    rows = rows.unionByName(nodes.select("block", F.col("node").alias("a"), F.col("community").alias("b"), F.col("weight").alias("x"), at.alias("at")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        edges, states = [], []
+        for batch in batches:
+            at, cols = batch.column("at"), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "x")]
+            is_link = at.is_null().to_numpy(zero_copy_only=False)
+            edges.append([c[is_link] for c in cols])
+            if not is_link.all():
+                held = at.filter(at.is_valid())
+                states.append([c[~is_link] for c in cols] + [f.to_numpy(zero_copy_only=False) for f in held.flatten()])
+        if not states:
+            return
+        (src, dst, w), (node, community, weight, *rest) = [[np.concatenate(c) for c in zip(*part)] for part in (edges, states)]
+        del edges, states
+        order = np.argsort(node)
+        node, community, weight, *rest = [c[order] for c in (node, community, weight, *rest)]
+        src, dst = np.searchsorted(node, src), np.searchsorted(node, dst)
+        out = work(node, src, dst, w, weight, community, *rest)
+        for i in range(0, len(out[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], names=[c.split(" ")[0] for c in schema.split(", ")])
 
-def _settled(edges: DataFrame, start: DataFrame, total: float, gamma: float | None, parts: bool) -> DataFrame:
+    return rows.repartitionById(blocks, F.col("block")).drop("block").mapInArrow(run, schema)
+
+
+def _at_once(edges: DataFrame, state: DataFrame, per: float, refine: bool, split: bool) -> DataFrame:
+    """``node, community`` of a graph of one block when all its levels have settled; ``split``: each community parted into
+    its connected pieces."""
+
+    def work(node, src, dst, w, weight, community, *_):
+        src, dst, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+        found = _finished(len(node), src, dst, w, weight, np.searchsorted(node, community), per, refine)
+        return node, node[_pieces(len(node), src, dst, found) if split else found]
+
+    zero, null = F.lit(0).cast("int").alias("block"), F.lit(None)
+    nodes = state.select(
+        zero, "node", "weight", "within", "community", null.cast("double").alias("held"), null.cast("long").alias("members"), F.lit(True).alias("mine"), F.lit(True).alias("free")
+    )
+    return _dealt(edges.where("src < dst").select(zero, "src", "dst", "w"), nodes, 1, work, "node long, community long")
+
+
+def _settled(edges: DataFrame, start: DataFrame, count: int, per: float, parts: bool, most: int) -> DataFrame:
     """``node, weight, within, community`` when no node wants to move any more. ``start``: the same (``within``: the
-    community that a node may not leave; ``parts``: only nodes that are alone move); edges: src, dst, w in both directions."""
-    state, per = start, F.lit(gamma) if gamma is not None else 1 / F.lit(total or 1.0)
-    for turn in range(SAFETY):
-        sums = state.groupBy("community").agg(F.sum("weight").alias("held"), F.count("*").alias("members"))
-        of = state.select(F.col("node").alias("dst"), "community", F.col("within").alias("near_within"))
-        own = state.select("node", "weight", "within", F.col("community").alias("own"))
-        options = (
-            edges.join(of, "dst").groupBy(F.col("src").alias("node"), "community", "near_within").agg(F.sum("w").alias("to")).join(own, "node").join(sums, "community")
-        )
+    community that a node may not leave; ``parts``: only nodes that are alone move); edges: src, dst, w in both directions,
+    ``count`` of them."""
+
+    def work(node, src, dst, w, weight, community, within, held, members, mine, free):
+        names, comm = np.unique(community, return_inverse=True)
+        first = np.unique(comm, return_index=True)[1]
+        block, own, totals, alone = _Block(len(node), src, dst, w, weight, per), comm.tolist(), held[first].tolist(), members[first].tolist()
+        bounds = within.tolist() if parts else None
+        asked = np.flatnonzero(mine)
+        wants = [(not parts or alone[own[i]] == 1) and block.best(i, own, totals, bounds) != own[i] for i in asked.tolist()]
+        turn = np.flatnonzero(mine & free).tolist()
         if parts:
-            alone = sums.where("members = 1").select(F.col("community").alias("own"))
-            options = options.where(F.col("within") == F.col("near_within")).join(alone, "own", "left_semi")
-        others = F.col("held") - F.when(F.col("community") == F.col("own"), F.col("weight")).otherwise(0)
-        gain = F.round(F.col("to") - per * F.col("weight") * others, 9)
-        best = (
-            options.withColumn("gain", gain).groupBy("node", "own")
-            .agg(
-                F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stays"), (-F.col("community")).alias("less"))).alias("to"),
-                F.max("gain").alias("gain"),
-            )
-            .where((F.col("gain") > 0) & (F.col("to") != F.col("own")))
-            .select("node", "to", (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0).alias("turn"))
-        )
-        moved = state.join(best, "node", "left").select(
-            "node", "weight", "within", F.when(F.col("turn"), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("to").isNotNull().alias("wants")
-        )
-        seen = Observation()  # counted while the round is written
-        moved = written(moved.observe(seen, F.count_if("wants").alias("n")), "moving")
+            block.gather(turn, own, totals, alone, bounds)
+        else:
+            block.settle(turn, own, totals)
+        return node[asked], names[np.array(own, dtype=np.int64)[asked]], np.array(wants, dtype=bool)
+
+    def round_of(links: DataFrame, state: DataFrame, blocks: int, free) -> DataFrame:
+        """One round over the nodes that ``links`` leave."""
+        sums = state.groupBy("community").agg(F.sum("weight").alias("held"), F.count("*").alias("members"))
+        known = state.join(sums, "community")
+        near = links.select("block", F.col("src").alias("node"), F.lit(True).alias("mine")).unionByName(links.select("block", F.col("dst").alias("node"), F.lit(False).alias("mine")))
+        near = near.groupBy("block", "node").agg(F.max("mine").alias("mine"))
+        return _dealt(links, near.join(known, "node").withColumn("free", free), blocks, work, "node long, next long, wants boolean")
+
+    blocks, state = -(-count // most), start
+    for turn in range(SAFETY):
+        block = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(blocks)).cast("int").alias("block")
+        free = F.pmod(F.xxhash64("node", F.lit(-turn - 1)), F.lit(2)) == 0
+        links = edges.select(block, "src", "dst", "w")
+        found = state.join(round_of(links, state, blocks, free), "node", "left")
+        moved = written(found.select("node", "weight", "within", "community", F.coalesce("next", "community").alias("next"), F.coalesce("wants", F.lit(False)).alias("wants")), "moving")
+        wanting = moved.where("wants").select(F.col("node").alias("src"))
+        few = edges.join(wanting, "src", "left_semi")
+        asked = few.count()
+        if asked == 0:
+            return moved.select("node", "weight", "within", "community")
+        if asked <= most:
+            # others fill the block, so that what the moves bring about is followed there
+            others = edges.where(F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(1_000_000)) < int(1_000_000 * (most - asked) / count))
+            few = few.unionByName(others.join(wanting, "src", "left_anti").select(*few.columns))
+            alone = round_of(few.select(F.lit(0).cast("int").alias("block"), "src", "dst", "w"), state, 1, F.lit(True))
+            after = state.join(alone, "node", "left").select("node", "weight", "within", F.coalesce("next", "community").alias("community"))
+            after = written(after, "moving")
+        else:
+            after = moved.select("node", "weight", "within", F.col("next").alias("community"))
+            after._written_at = moved._written_at
+        if asked <= most:
+            drop_written(moved)
         if state is not start:
             drop_written(state)
-        if seen.get["n"] == 0:
-            return moved
-        state = moved
+        state = after
     raise RuntimeError(f"communities still move after {SAFETY} rounds")
 
 
-def communities(edges: DataFrame, gamma: float | None = None, refine: bool = True, src: str = "src", dst: str = "dst") -> DataFrame:
+def communities(edges: DataFrame, gamma: float | None = None, refine: bool = True, src: str = "src", dst: str = "dst", block: int = BLOCK) -> DataFrame:
     """``node, community`` of an undirected graph of long ids; parallel edges add up. ``gamma``: constant Potts model;
-    ``refine``: Leiden, else Louvain.
+    ``refine``: Leiden, else Louvain. ``block``: links that one task holds.
 
-    Communities are parted into their connected pieces at the end, so each is connected.
+    Communities are parted into their connected pieces at the end, so each is connected, and named by their least node.
     """
     links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst")
     both = links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
     base = graph = written(both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "graph")
-    degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("weight"))
-    total = degree.agg(F.sum("weight")).first()[0] or 0.0
-    if gamma is not None:
-        degree = degree.select("node", F.lit(1.0).alias("weight"))
-    state = written(degree.select("node", "weight", F.lit(0).cast("long").alias("within"), F.col("node").alias("community")), "state")
-    labels = written(degree.select("node", F.col("node").alias("inner")), "labels")  # which node of the present graph holds it
-    while True:
-        settled = _settled(graph, state, total, gamma, False)
+    count, total = base.agg(F.count("*"), F.sum("w")).first()
+    per = gamma if gamma is not None else 1 / (total or 1.0)
+    weight = F.lit(1.0) if gamma is not None else F.sum("w")
+    state = graph.groupBy(F.col("src").alias("node")).agg(weight.alias("weight")).select("node", "weight", F.lit(0).cast("long").alias("within"), F.col("node").alias("community"))
+    if count <= block:
+        return written(_at_once(graph, state, per, refine, True), "labels")
+    state = written(state, "state")
+    labels = written(state.select("node", F.col("node").alias("inner")), "labels")  # which node of the present graph holds it
+    while count > block:
+        settled = _settled(graph, state, count, per, False, block)
         joined = settled.groupBy("community").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         if joined:
             break
         if refine:
             begin = written(settled.select("node", "weight", F.col("community").alias("within"), F.col("node").alias("community")), "state")
-            parts = _settled(graph, begin, total, gamma, True)
+            parts = _settled(graph, begin, count, per, True, block)
             if parts.where("node <> community").isEmpty():  # nothing to put together: the communities themselves go on
                 parts = settled.withColumn("within", F.col("community"))
         else:
@@ -100,6 +294,9 @@ def communities(edges: DataFrame, gamma: float | None = None, refine: bool = Tru
         state = written(
             groups.join(names, "within").select(F.col("community").alias("node"), "weight", F.lit(0).cast("long").alias("within"), F.col("name").alias("community")), "state"
         )
+        count = graph.count()
+    else:
+        settled = _at_once(graph, state, per, refine, False)
     final = settled.select(F.col("node").alias("inner"), "community")
     labels = written(labels.join(final, "inner").select("node", "community"), "labels")
     side = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))

@@ -69,6 +69,29 @@ def test_communities_settle(spark):
     assert community.communities(links.limit(0)).collect() == []
 
 
+def ring_of_cliques(spark, size, groups):
+    cliques = [(g * size + i, g * size + j) for g in range(groups) for i in range(size) for j in range(i)]
+    return spark.createDataFrame(cliques + [(g * size, ((g + 1) % groups) * size + 1) for g in range(groups)], "src long, dst long")
+
+
+def test_communities_of_one_block_take_one_task(spark, monkeypatch):
+    """A graph that fits a block is written once and settled in one step, however many moves it takes."""
+    steps = []
+    monkeypatch.setattr(community, "written", lambda df, name, **kw: (steps.append(name), written(df, name, **kw))[1])
+    for kind in ({"refine": False}, {}, {"gamma": 0.3}):
+        steps.clear()
+        assert community.communities(ring_of_cliques(spark, 6, 5), **kind).select("community").distinct().count() == 5
+        assert len(steps) <= 2
+
+
+def test_communities_of_many_blocks(spark):
+    """However few links a task holds, every clique is one community, named by its least node."""
+    links = ring_of_cliques(spark, 5, 4)
+    for kind in ({"refine": False}, {"gamma": 0.3}):
+        found = community.communities(links, block=50, **kind).collect()
+        assert sorted((r.node, r.community) for r in found) == [(n, n // 5 * 5) for n in range(20)]
+
+
 def test_steiner_reaches_far_terminals(spark, collect):
     chain = spark.range(90).selectExpr("id as src", "id + 1 as dst")
     tree = steiner(chain, spark.createDataFrame([(0,), (90,)], "node long"))
