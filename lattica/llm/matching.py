@@ -177,14 +177,21 @@ def _keys(rows: DataFrame, other: str, own: str) -> DataFrame:
     """id, key: hashes of what a candidate must share; keys marked ``own`` meet only the other side's records without
     authors, ``other`` says that mark of the other side."""
     none = F.array().cast("array<bigint>")
-    given = lambda *x: F.filter(F.array(*x), lambda k: k.isNotNull())
-    at = lambda c, n: [F.get(c, F.lit(i)) for i in range(n)]
-    rows = rows.select("id", "families", "dois", F.size("content").alias("n"), F.sort_array(F.slice("content", 1, 5)).alias("head"), F.sort_array(F.slice("content", 1, 3)).alias("first"))
-    head, first = at("head", 5), at("first", 3)
-    triple = [F.when(F.least("n", F.lit(5)) > max(c), F.xxhash64(*[head[i] for i in c])) for c in itertools.combinations(range(5), 3)]
-    parts = [F.when(F.least("n", F.lit(3)) > j, F.xxhash64(first[i], first[j])) for i, j in itertools.combinations(range(3), 2)]
-    parts += [F.when(F.col("n").between(i + 1, 2), F.xxhash64(first[i])) for i in range(2)]
-    rows = rows.select("id", "families", "dois", given(*triple).alias("triples"), given(*parts).alias("parts"), F.when(F.col("n").between(1, 2), F.array(F.lit(0).cast("long"))).otherwise(none).alias("bare"))
+    # words that stand within ``reach`` of one another, anywhere in the title
+    sets = lambda reach, k: F.filter(
+        F.flatten(
+            F.transform(
+                "content",
+                lambda w, i: F.array(*[
+                    F.when(i + max(c) < F.size("content"), F.xxhash64(F.array_sort(F.array(w, *[F.get("content", i + o) for o in c])))) for c in itertools.combinations(range(1, reach), k - 1)
+                ]),
+            )
+        ),
+        lambda k: k.isNotNull(),
+    )
+    short = F.size("content").between(1, 2)
+    single = F.when(short, F.transform("content", lambda w: F.xxhash64(w))).otherwise(none)
+    rows = rows.select("id", "families", "dois", sets(5, 3).alias("triples"), F.concat(sets(3, 2), single).alias("parts"), F.when(short, F.array(F.lit(0).cast("long"))).otherwise(none).alias("bare"))
     named = F.flatten(F.transform("families", lambda f: F.transform(F.concat("parts", "bare"), lambda p: F.xxhash64(p, f))))
     lone = F.transform("parts", lambda p: F.xxhash64(F.lit(own), p))
     asked = F.when(F.size("families") == 0, F.transform("parts", lambda p: F.xxhash64(F.lit(other), p))).otherwise(none)

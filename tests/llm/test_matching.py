@@ -88,6 +88,17 @@ def test_two_errors_in_a_short_title(spark):
     assert good(run(spark, [(1, "Quiet nanogates", None), (2, "Approach and evidence", None)], [(10, None, "Qiet nanogats", "A. Sorbenko", "2020"), (12, None, "Approach and evidence", "B. Tellman", "2020")], one)) == [(1, 10), (2, 12)]
 
 
+def test_the_end_of_a_title_is_enough(spark):
+    """The first five content words are lost or mistyped; the rest of the title is whole."""
+    title = "Supervised optonodes reshape recurrent nanogate receptors during quiet reservoir annealing beyond distilled potentials"
+    seen = "Suprevisde optonoeds rehsaep recurrnet nanogtae receptors during quiet reservoir annealing beyond distilled potentials"
+    assert good(run(spark, [(1, title, None)], [(10, None, seen, "A. Sorbenko", "2020")], AUTHOR)) == [(1, 10)]
+    lost = "Receptors during quiet reservoir annealing beyond distilled potentials"
+    frame = lambda t: _variants(spark.createDataFrame([(1, [t], [], [], 2020)], "id long, titles array<string>, dois array<string>, families array<string>, year int"))
+    left, right = _with_content(frame(title), frame(lost))
+    assert candidates(left, right).count() == 1
+
+
 def test_hot_title_with_misspelt_and_missing_authors(spark):
     """A key that many records bear is whole: a family name with an error, a record without authors, a cut DOI."""
     n, title = 40, "Winner take all circuits"
