@@ -46,9 +46,9 @@ PLACELESS = ("university", "univ", "institute", "inst", "technology", "tech", "d
 PLACELESS_SHARE, PLACELESS_LEAST = 0.04, 40
 #: Log likelihoods of the changes.
 TYPO, INITIAL, NICKNAME, DROPPED, UNLIKE = -3.0, -1.0, -1.5, -0.7, -9.0
-#: A nickname must stand for its name in so many (place, family name) groups, in one of them among few first names only:
-#: in groups of many names, most pairs stand together by chance.
-NICKNAME_GROUPS, NICKNAME_NAMES = 2, 6
+#: A nickname must stand for its name in so many (place, family name) groups, in one of them among few first names only,
+#: or, as in groups of many names most pairs stand together by chance, so many times as often as chance would have it.
+NICKNAME_GROUPS, NICKNAME_NAMES, NICKNAME_LIFT = 2, 6, 3.0
 #: Log odds of a place that the paper's other authors name, and the share of a name's mentions that an entity must hold.
 NEARBY, LEAST_SHARE = 6.0, 0.5
 
@@ -216,15 +216,31 @@ def family_links(forms: DataFrame) -> DataFrame:
 
 
 def nicknames(forms: DataFrame) -> DataFrame:
-    """g1 -> full: first names that stand for one another under several names and places. ``forms``: place, s, g1, n."""
+    """g1 -> full: first names that stand for one another under several names and places. ``forms``: place, s, g1, n.
+
+    Pairs of all groups are counted, whatever the group's size. A pair is known if a group of few names shows it, or if it
+    stands together more often than names of groups of such sizes would by chance."""
     names = forms.where(F.length("g1") > 2).select("place", "s", "g1").distinct()
     sizes = names.groupBy("place", "s").agg(F.count("*").alias("size")).where("size > 1")
     names = written(names.join(sizes, ["place", "s"]), "first-names")
-    few = names.where(F.col("size") <= NICKNAME_NAMES)
-    known = few.join(few.select("place", "s", F.col("g1").alias("full")), ["place", "s"]).where("g1 <> full").where(F.levenshtein("g1", "full") > 1).select("g1", "full").distinct()
-    # every group counts for the pairs that a small one shows, so a hot group is asked for known pairs, not for all
-    pairs = names.join(known, "g1").join(names.select("place", "s", F.col("g1").alias("full")), ["place", "s", "full"]).groupBy("g1", "full").agg(F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= NICKNAME_GROUPS).select("g1", "full")
+    # meetings: with how many names a name stands in all its groups; the chance that one of them is ``full`` is its share of all
+    uses = names.groupBy("g1").agg(F.count("*").alias("groups"), F.sum(F.col("size") - 1).alias("meetings")).where(F.col("groups") >= NICKNAME_GROUPS)
+    uses = written(uses, "first-name-uses")
+    often = names.join(uses.select("g1"), "g1", "left_semi")
+    pairs = (
+        often.join(often.select("place", "s", F.col("g1").alias("full")), ["place", "s"]).where("g1 < full").where(F.levenshtein("g1", "full") > 1)
+        .groupBy("g1", "full").agg(F.count("*").alias("n"), F.min("size").alias("least")).where(F.col("n") >= NICKNAME_GROUPS)
+    )
+    few = pairs.where(F.col("least") <= NICKNAME_NAMES).select("g1", "full")
+    total = names.agg(F.count("*").alias("total"))
+    of = uses.select(F.col("g1").alias("full"), F.col("groups").alias("held"))
+    chance = F.col("meetings") * F.col("held") / F.col("total")
+    beyond = (
+        pairs.where(F.col("least") > NICKNAME_NAMES).join(uses.select("g1", "meetings"), "g1").join(of, "full").crossJoin(F.broadcast(total))
+        .where(F.col("n") >= NICKNAME_LIFT * chance).select("g1", "full")
+    )
+    known = few.unionByName(beyond)
+    return known.unionByName(known.select(F.col("full").alias("g1"), F.col("g1").alias("full")))
 
 
 def given_links(forms: DataFrame, known: DataFrame) -> DataFrame:

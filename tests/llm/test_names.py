@@ -84,6 +84,15 @@ def test_large_groups_count_for_known_nicknames(spark, collect):
     assert collect(nicknames(spark.createDataFrame(forms, "place string, s string, g1 string, n long"))) == [("bob", "robert"), ("robert", "bob")]
 
 
+def test_nicknames_of_large_groups_only(spark, collect):
+    """No small group shows the pair, but it stands together far more often than chance would have it."""
+    other = lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}" * 3 for i in range(8)]
+    forms = [(f"p{k}", "fam", g, 1) for k in range(40) for g in (*(("robert", "bob") if k < 8 else ()), *other(k))]
+    assert collect(nicknames(spark.createDataFrame(forms, "place string, s string, g1 string, n long"))) == [("bob", "robert"), ("robert", "bob")]
+    every = [(f"p{k}", "fam", f"n{chr(97 + i)}xq{chr(97 + i)}", 1) for k in range(3) for i in range(8)]  # all stand together always
+    assert collect(nicknames(spark.createDataFrame(every, "place string, s string, g1 string, n long"))) == []
+
+
 def test_name_without_place_goes_by_share(spark):
     """An entity that holds most of a name takes it; of two that hold it alike none does."""
     rows = [(1, "Ann", "Sorbenko", None, None, A)] * 5 + [(2, "Ann", "Sorbenko", None, None, B), (3, "Ann", "Sorbenko", None, None, None)]
