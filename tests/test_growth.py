@@ -3,6 +3,7 @@
 import math
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,58 @@ def test_communities_of_many_blocks(spark):
         assert sorted((r.node, r.community) for r in found) == [(n, n // 5 * 5) for n in range(20)]
 
 
+def random_block(n, m, heaviest=1, seed=3):
+    """A block of a random graph with a few popular nodes, and the links' total weight."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, n, m), (n * rng.random(m) ** 3).astype(np.int64)
+    a, b = a[a != b], b[a != b]
+    w = rng.integers(1, heaviest + 1, len(a)).astype(float)
+    src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    weight = np.bincount(src, w, n)
+    return community._Block(n, src, dst, w, weight, 1 / w.sum()), weight
+
+
+def test_moves_go_by_batches_until_no_node_wants_to(monkeypatch):
+    """Few nodes are asked alone, however many moves there are; in the end none wants to move."""
+    asked, best = [], community._Block.best
+    for heaviest in (1, 5):
+        block, weight = random_block(4000, 24000, heaviest)
+        comm, held = np.arange(block.n), weight.copy()
+        with monkeypatch.context() as patch:
+            patch.setattr(community._Block, "best", lambda self, *a: (asked.append(1), best(self, *a))[1])
+            block.settle(np.arange(block.n), comm, held)
+        assert len(asked) < block.n
+        held = np.bincount(comm, weight, block.n).tolist()
+        labels = comm.tolist()
+        assert len(set(labels)) < block.n // 2 and all(block.best(i, labels, held) == labels[i] for i in range(block.n))
+
+
+def test_batches_ask_what_single_nodes_ask(monkeypatch):
+    """Over portions of any size a node's answer is that of looking at each of its neighbours' communities."""
+    monkeypatch.setattr(community, "STEP", 70)
+    for heaviest in (1, 9):
+        block, weight = random_block(300, 1500, heaviest)
+        comm = np.random.default_rng(heaviest).integers(0, 40, block.n)
+        held = np.bincount(comm, weight, block.n)
+        to, lacks = block.ask(np.arange(block.n), comm, held)
+        gain = lambda i, c: sum(x for j, x in zip(block.dst[block.ends[i] : block.ends[i + 1]], block.w[block.ends[i] : block.ends[i + 1]]) if comm[j] == c) - block.share[i] * (held[c] - weight[i] * (c == comm[i]))  # noqa: E731,B023
+        for i in range(block.n):
+            single = block.best(i, comm.tolist(), held.tolist())
+            assert (single == comm[i]) == (to[i] == comm[i]) == (lacks[i] >= 0) and abs(gain(i, single) - gain(i, to[i])) < 1e-6
+
+
+def test_parts_stay_within_their_bounds():
+    """Single nodes join parts inside their own community, until none that is alone wants to."""
+    block, weight = random_block(3000, 15000)
+    within = np.arange(block.n) % 7
+    parts, held, members = np.arange(block.n), weight.copy(), np.ones(block.n, dtype=np.int64)
+    block.gather(np.arange(block.n), parts, held, members, within)
+    assert len(np.unique(parts)) < block.n and all(len(np.unique(within[parts == p])) == 1 for p in np.unique(parts))
+    assert (members == np.bincount(parts, minlength=block.n)).all() and np.allclose(held, np.bincount(parts, weight, block.n))
+    alone = np.flatnonzero(members[parts] == 1)
+    assert (block.ask(alone, parts, held, within)[1] >= 0).all()
+
+
 def test_steiner_reaches_far_terminals(spark, collect):
     chain = spark.range(90).selectExpr("id as src", "id + 1 as dst")
     tree = steiner(chain, spark.createDataFrame([(0,), (90,)], "node long"))
